@@ -11,11 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch between the JVM and Python, where the session has Spark's default: texts can be long.
+ARROW_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data set."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder that the cluster names in spark.checkpoint.dir.
 
@@ -31,7 +41,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again: the lineage ends there, and a lost executor costs a re-read."""
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # what a writing task buffers
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -42,14 +52,23 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow with per-task state: make() runs once in each task and returns the function for one batch."""
+#: Rows that become Python objects at once; long texts make Arrow's own batches large.
+SLICE = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = SLICE) -> DataFrame:
+    """mapInArrow with per-task state: make() runs once in each task and returns the function for one slice of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+        for batch in slices(batches, rows):
+            yield step(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -65,6 +84,11 @@ def spread_keys(spark: SparkSession, n: int) -> list[int]:
     return [found[i] for i in range(n)]
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of what df reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -1,8 +1,8 @@
 """Joining texts whose word 5-gram sets have a Jaccard similarity of 0.75 or more: size-aware, light and heavy.
 
 Sets are of 64-bit shingle hashes; equal sets are one class from the start, so copies are never compared. All sets
-order their shingles alike: those found often in the corpus last, by count, then by hash. Any such order is right, so
-the counts only make it fast; they come from all texts.
+order their shingles alike: by hash, but those found often in the corpus last, by count. Any such order is right, so
+the counts only make it fast; they come from all texts, for the shingles that such an order puts first.
 
 * Light sets (at most `boundary` shingles) enumerate the 2-subsets of their prefix: sets that overlap enough share two
   of the first s - ceil(0.75 s) + 2 shingles.
@@ -11,9 +11,11 @@ the counts only make it fast; they come from all texts.
 * The boundary is where the subsets cost more than a prefix and the scans of its lists do, by the mean list length
   that the counts tell.
 
-Lists are dealt out by hash as packed arrays. In a list every member is first compared with the list's least one only;
-links so found join components, and only lists with members of several components are looked at again, for pairs
-across. A list of n near copies thus costs n comparisons and not n squared, and no link between components is missed.
+Lists are dealt out by hash as packed arrays. Every list has a centre, the member that is in most lists; a centre and
+all that share a list with it form a group, whose members' sets meet in one place and are compared there exactly, in
+blocks of BLOCK members if they are many. Two sets that share a list are in its centre's group, so no link is missed;
+a group returns no pairs but a spanning star of each of its components. A set travels once for each centre it shares
+a list with, mostly one, and not once for each partner.
 
 Shingle hashes have 64 bits: two different shingles of a text pair fall together about once in 10^13 pairs.
 
@@ -28,20 +30,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcrawl.llm.common import map_batches, spread_keys, stored, table
+from loomcrawl.llm.common import input_bytes, map_batches, slices, spread_keys, stored, table
 from loomcrawl.llm.components import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-#: A task tells shingles that it has seen so often among OWN_SHINGLES; the HEAVY most frequent ones are ordered last.
-OWN_COUNT, OWN_SHINGLES, HEAVY = 4, 4_000_000, 1 << 17
+#: Shingles whose hash is in this share of all are counted, by 32 bits; of those in OFTEN sets or more the HEAVY most
+#: frequent are ordered last.
+COUNTED, OFTEN, HEAVY = 0.4, 4, 1 << 18
 #: Light sets have at most so many shingles, whatever the costs say: keeps a set's subsets below 200.
 MOST_LIGHT = 64
-#: Distinct words a task keeps, bytes of packed entries per list partition, members per home of a verification.
-CACHE, PART_BYTES, HOME = 200_000, 32 << 20, 256
+#: Distinct words a task keeps, numbers it holds before it deals them out, bytes dealt to a partition, members of a block
+#: of a group.
+CACHE, HELD, PART_BYTES, BLOCK = 200_000, 1 << 20, 32 << 20, 512
 #: Size codes: 256 a doubling; sizes that fit differ by at most RATIO codes.
 _CODE, RATIO = 256, 107
 _U = np.uint64
@@ -103,20 +108,51 @@ def boundary(mean_list: float) -> int:
     return b
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Of every row doc_id, n, key (kind 0; null key: empty set); of frequent shingles hash and count (kind 1: key, n)."""
+class Dealer:
+    """Arrays of one length that a task collects and deals out to partitions as packed rows (part, data, ...)."""
+
+    def __init__(self, parts: list[int], columns: int):
+        self.keys, self.n, self.held, self.size = pa.array(parts, pa.int32()), len(parts), [[] for _ in range(columns)], 0
+
+    def add(self, *arrays: np.ndarray) -> None:
+        for held, x in zip(self.held, arrays, strict=True):
+            held.append(x)
+        self.size += len(arrays[0])
+
+    def full(self) -> bool:
+        return self.size >= HELD
+
+    def dealt(self, place) -> tuple[pa.Array, list[pa.Array]]:
+        """Partition keys and packed columns of all that is held; place(first array) gives partition numbers."""
+        columns = [np.concatenate(held) for held in self.held]
+        self.held, self.size = [[] for _ in self.held], 0
+        part = place(columns[0])
+        at = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[at], np.arange(self.n + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        return self.keys.take(pa.array(some)), [pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in (c[at] for c in columns)]
+
+
+def _unpacked(column: pa.Array, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in column.to_pylist() if x]
+
+
+_SCAN = "kind int, doc_id long, n long, key long"
+
+
+def scan(docs: DataFrame, parts: list[int]) -> DataFrame:
+    """Of every row doc_id, n, key (kind 0; null key: empty set); of frequent shingles 32 bits and count (kind 1: key, n)."""
+    counted, n_parts = _U(int(COUNTED * 2**32)), len(parts)
 
     def run(batches):
-        shingler, own, size = Shingler(), [], 0
+        shingler, dealer, seen = Shingler(), Dealer(parts, 1), set()
 
         def told():
-            h, n = np.unique(np.concatenate(own), return_counts=True)
-            often = n >= OWN_COUNT
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n[often].astype(np.int64)), pa.array(h[often].view(np.int64))], names=["kind", "doc_id", "n", "key"])
+            part, [data] = dealer.dealt(lambda x: (_mix(x.astype(_U)) % _U(n_parts)).astype(np.int64))
+            k = len(part)
+            return pa.RecordBatch.from_arrays([part, pa.array([1] * k, pa.int32()), *[pa.nulls(k, pa.int64())] * 3, data], names=["part", "kind", "doc_id", "n", "key", "data"])
 
-        seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             ns, keys = [], []
             for t in b.column(1).to_pylist():
                 x = shingler(t)
@@ -124,30 +160,43 @@ def scan(docs: DataFrame) -> DataFrame:
                 keys.append(key_of(x) if len(x) else None)
                 if len(x) and keys[-1] not in seen:
                     seen.add(keys[-1])
-                    own.append(x)
-                    size += len(x)
-                if size >= OWN_SHINGLES:
-                    yield told()
-                    own, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int32()), b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64())], names=["kind", "doc_id", "n", "key"])
-        if own:
+                    h = x >> _U(32)  # sorted, as x is
+                    dealer.add(h[: np.searchsorted(h, counted)].astype(np.uint32))
+            if dealer.full():
+                yield told()
+            part = dealer.keys.take(pa.array((_mix(np.array(ns, _U) * _U(977) + np.arange(len(ns), dtype=_U)) % _U(n_parts)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([part, pa.array([0] * b.num_rows, pa.int32()), b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names=["part", "kind", "doc_id", "n", "key", "data"])
+        if dealer.size:
             yield told()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, key long")
+    def count(batches):
+        own = []
+        for b in batches:
+            own += _unpacked(b.column(5), np.uint32)
+            b = b.filter(pa.compute.equal(b.column(1), 0))
+            yield pa.RecordBatch.from_arrays(b.columns[1:5], names=["kind", "doc_id", "n", "key"])
+        if own:
+            h, n = np.unique(np.concatenate(own), return_counts=True)
+            h, n = h[n >= OFTEN].astype(np.int64), n[n >= OFTEN].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h)], names=["kind", "doc_id", "n", "key"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"part int, {_SCAN}, data binary")
+    return rows.repartition(len(parts), "part").mapInArrow(count, _SCAN)
 
 
 class Order:
-    """The corpus-wide order of shingles: frequent ones last, by count, then by hash."""
+    """The corpus-wide order of shingles: by hash, but frequent ones last, by count. heavy: their hashes' first 32 bits."""
 
     def __init__(self, heavy: np.ndarray, counts: np.ndarray):
         at = np.argsort(heavy)
-        self.heavy, self.rank = heavy[at], np.log2(np.maximum(counts[at], 2)).astype(np.int8) + np.int8(1)
+        self.heavy, self.rank = heavy[at].astype(np.uint32), np.log2(np.maximum(counts[at], 2)).astype(np.int8) + np.int8(1)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if not len(self.heavy):
             return x
-        at = np.minimum(np.searchsorted(self.heavy, x), len(self.heavy) - 1)
-        often = self.heavy[at] == x
+        h = (x >> _U(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
+        often = self.heavy[at] == h
         if not often.any():
             return x
         return x[np.argsort(np.where(often, self.rank[at], 0), kind="stable")]
@@ -169,12 +218,16 @@ def entries(x: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt(docs: DataFrame, order: Order, light: int, parts: list[int]) -> DataFrame:
     """Packed list entries: part, and two arrays of 64 bits: 48 of the list's hash, size code and index flag; the key."""
+    n_parts = len(parts)
 
-    def make():
-        shingler, seen, n, keys = Shingler(), set(), len(parts), pa.array(parts, pa.int32())
+    def run(batches):
+        shingler, dealer, seen = Shingler(), Dealer(parts, 2), set()
 
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            heads, owners = [], []
+        def told():
+            part, data = dealer.dealt(lambda a: (_mix(a >> _U(16)) % _U(n_parts)).astype(np.int64))
+            return pa.RecordBatch.from_arrays([part, *data], names=["part", "heads", "owners"])
+
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 x = shingler(t)
                 if not len(x) or (key := key_of(x)) in seen:
@@ -183,20 +236,13 @@ def dealt(docs: DataFrame, order: Order, light: int, parts: list[int]) -> DataFr
                 h, index = entries(order(x), light)
                 if len(h):
                     code = int(math.log2(len(x)) * _CODE)
-                    heads.append((h & ~_U(0xFFFF)) | _U(code << 1) | index.astype(_U))
-                    owners.append(np.full(len(h), key, np.int64))
-            if not heads:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["part", "heads", "owners"])
-            a, o = np.concatenate(heads), np.concatenate(owners)
-            part = (_mix(a >> _U(16)) % _U(n)).astype(np.int64)
-            at = np.argsort(part, kind="stable")
-            a, o, cuts = a[at], o[at], np.searchsorted(part[at], np.arange(n + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(full)), *(pa.array([v[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()) for v in (a, o))], names=["part", "heads", "owners"])
-
-        return step
+                    dealer.add((h & ~_U(0xFFFF)) | _U(code << 1) | index.astype(_U), np.full(len(h), key, np.int64))
+                if dealer.full():
+                    yield told()
+        if dealer.size:
+            yield told()
 
-    return map_batches(docs.select("text"), "part int, heads binary, owners binary", make)
+    return docs.select("text").mapInArrow(run, "part int, heads binary, owners binary")
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -208,57 +254,56 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[new] for c in columns)
 
 
-def scanned(a: np.ndarray, o: np.ndarray):
-    """Of entries of whole lists: star pairs (least member, member) that may be linked, and lists of three or more.
+def scanned(a: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries of whole lists: the members of each list with a pair that may be linked, as (list, member).
 
-    A list is (hash of its members, member, size code); lists with the same members come once.
+    A list is named by a hash of its members; lists with the same members come once.
     """
     a, o = _distinct(a, o)
-    none = np.empty(0, np.int64)
     if len(a) < 2:
-        return (none, none), (none, none, none)
-    head = a >> _U(16)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    head, code, index = a >> _U(16), ((a >> _U(1)) & _U(0x7FFF)).astype(np.int64), (a & _U(1)).astype(bool)
+    same = head[1:] == head[:-1]
+    # Sorted by size: an entry without a neighbour of fitting size in its list has no partner there.
+    near = same & (code[1:] - code[:-1] <= RATIO)
+    keep = np.concatenate([[False], near]) | np.concatenate([near, [False]])
+    # Nor has a list without an index entry.
+    group = np.cumsum(np.concatenate([[0], ~same]))
+    keep &= np.bincount(group, index)[group] > 0
+    head, o = head[keep], o[keep]
+    if not len(o):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-    size = np.diff(np.append(first, len(a)))
-    keep = np.repeat(size > 1, size)
-    a, o, size = a[keep], o[keep], size[size > 1]
-    if not len(a):
-        return (none, none), (none, none, none)
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    group = np.repeat(np.arange(len(size)), size)
-    code, index = ((a >> _U(1)) & _U(0x7FFF)).astype(np.int64), (a & _U(1)).astype(bool)
-    least = np.minimum.reduceat(o, first)
-    centre = np.flatnonzero(o == least[group])
-    centre = centre[np.unique(group[centre], return_index=True)[1]][group]
-    gap = code - code[centre]
-    fits = (o != o[centre]) & (np.abs(gap) <= RATIO) & np.where(gap > 0, index[centre], np.where(gap < 0, index, index | index[centre]))
-    pairs = _distinct(o[centre][fits], o[fits])
-    sign = np.add.reduceat(_mix(o.view(_U)), first)
-    many = np.flatnonzero(size > 2)
-    many = many[np.unique(sign[many], return_index=True)[1]]
-    chosen = np.zeros(len(size), bool)
-    chosen[many] = True
-    rows = chosen[group]
-    return pairs, (sign[group][rows].view(np.int64), o[rows], code[rows])
+    size = np.diff(np.append(first, len(head)))
+    name = np.add.reduceat(_mix(o.view(_U)), first)
+    once = np.zeros(len(size), bool)
+    once[np.unique(name, return_index=True)[1]] = True
+    rows = np.repeat(once & (size > 1), size)
+    return np.repeat(name, size)[rows].view(np.int64), o[rows]
 
 
 def lists(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows of all lists, per partition: kind 0 pairs (a, b), kind 1 members (a: list, b: member, code)."""
+    """list, member of all lists, per partition of lists."""
 
     def run(batches):
         heads, owners = [], []
         for b in batches:
-            heads += [np.frombuffer(x, _U) for x in b.column(1).to_pylist()]
-            owners += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        if not heads:
-            return
-        pairs, members = scanned(np.concatenate(heads), np.concatenate(owners))
-        for kind, columns in ((0, (*pairs, np.zeros(len(pairs[0]), np.int64))), (1, members)):
-            for at in range(0, len(columns[0]), 100_000):
-                a, b, c = (x[at : at + 100_000] for x in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c.astype(np.int16))], names=["kind", "a", "b", "code"])
+            heads += _unpacked(b.column(1), _U)
+            owners += _unpacked(b.column(2), np.int64)
+        if heads:
+            names, members = scanned(np.concatenate(heads), np.concatenate(owners))
+            for at in range(0, len(names), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 100_000]), pa.array(members[at : at + 100_000])], names=["list", "member"])
+
+    return packed.repartition(parts, "part").mapInArrow(run, "list long, member long")
+
 
-    return packed.repartition(parts, "part").mapInArrow(run, "kind int, a long, b long, code short")
+def grouped(members: DataFrame) -> DataFrame:
+    """centre, member: all that share a list with its centre, the centre among them."""
+    degree = members.groupBy("member").agg(F.count("*").alias("degree"))
+    once = members.distinct()
+    centre = once.join(degree, "member").groupBy("list").agg(F.max(F.struct("degree", "member")).alias("c")).select("list", F.col("c.member").alias("centre"))
+    return once.join(centre, "list").select("centre", "member").distinct()
 
 
 def filter_of(ids: DataFrame) -> bytes:
@@ -314,90 +359,104 @@ def sets_of(docs: DataFrame, found: bytes) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), "key long, shingles binary", make)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, by exact intersection. A set travels to each `a` it is compared with.
-
-    An `a` with many partners is dealt out: HOME partners to a share, with a copy of its set in each.
-    """
-    count = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(count, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HOME)).cast("int")).select("a", "b", "salt")
-    guests = salted.join(sets, salted.b == sets.key).select("a", "salt", F.col("b").alias("guest"), "shingles")
-    homes = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOME).cast("int") - 1))).join(sets, F.col("a") == F.col("key")).select("a", "salt", F.lit(None).cast("long").alias("guest"), "shingles")
-    rows = homes.unionByName(guests).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("guest").asc_nulls_first())
-
-    def make():
-        state: dict = {"home": None, "set": None}
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, over the shingles that several sets have, some thousand at a time."""
+    n = len(sets)
+    total = np.zeros((n, n), np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    at = np.argsort(flat, kind="stable")
+    flat, owner = flat[at], owner[at]
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    size = np.diff(np.append(start, len(flat)))
+    many = np.repeat(size > 1, size)
+    owner, column = owner[many], np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, (low, low + 2048))
+        m = np.zeros((n, 2048), np.float32)
+        m[owner[lo:hi], column[lo:hi] - low] = 1
+        total += m @ m.T
+    return total
+
+
+def stars(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning star (least place, place) of every component of linked sets."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    if n < 2:
+        return []
+    if n == 2:
+        x, y = sorted(sets, key=len)
+        at = np.searchsorted(y, x)
+        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        return [(0, 1)] if DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both) else []
+    both = overlaps(sets).astype(np.int64)  # exact: sizes stay far below 2^24
+    linked = DENOMINATOR * both >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both)
+    out, left = [], np.ones(n, bool)
+    for i in range(n):
+        if left[i]:
+            left[i], front = False, [i]
+            while front:
+                for j in np.flatnonzero(linked[front.pop()] & left).tolist():
+                    left[j] = False
+                    out.append((i, j))
+                    front.append(j)
+    return out
 
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            out_a, out_b = [], []
-            for a, guest, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x = np.frombuffer(x, _U)
-                if guest is None:
-                    state["home"], state["set"] = a, x
-                elif state["home"] == a:
-                    y = state["set"]
-                    low, high = sorted((len(x), len(y)))
-                    if DENOMINATOR * low < NUMERATOR * high:
-                        continue
-                    small, large = (x, y) if len(x) <= len(y) else (y, x)
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if DENOMINATOR * both >= NUMERATOR * (low + high - both):
-                        out_a.append(a)
-                        out_b.append(guest)
-            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-        return step
+def links_in(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of each group of (centre, member).
 
-    return map_batches(rows, "a long, b long", make)
+    A group of more than BLOCK members is cut into blocks, and each two blocks are compared in a place of their own.
+    """
+    size = groups.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where(F.col("blocks") > 1)
+    cut = groups.join(size, "centre", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).otherwise(0))
+    others = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))).otherwise(F.array(F.lit(0)))
+    placed = cut.withColumn("other", F.explode(others)).select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
+    # Neither side has a bound, so neither is broadcast, however small it happens to be.
+    rows = placed.hint("merge").join(sets, placed.member == sets.key).select("centre", "i", "j", "member", "shingles").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "member")
 
+    def run(batches):
+        place, members, held = None, [], []
 
-def across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of one list that are in different components and fit in size, smaller key first.
+        def told():
+            found = stars(held)
+            return pa.RecordBatch.from_arrays([pa.array([members[i] for i, _ in found], pa.int64()), pa.array([members[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for b in slices(batches):
+            for *at, member, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != place:
+                    if len(held) > 1:
+                        yield told()
+                    place, members, held = at, [], []
+                if not members or members[-1] != member:  # several tasks may have sent a set
+                    members.append(member)
+                    held.append(np.frombuffer(x, _U))
+        if len(held) > 1:
+            yield told()
 
-    The list's most frequent component is not paired with itself, and all others are few: what a list costs is its
-    size times the members outside that component.
-    """
-    known = members.join(roots, members.b == roots.node, "left").select(F.col("a").alias("list"), "b", "code", F.coalesce("root", "b").alias("root"))
-    mixed = known.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("list")
-    rows = known.join(mixed, "list", "left_semi").distinct()
-    per = rows.groupBy("list", "root").agg(F.countDistinct("b").alias("n"))
-    major = per.groupBy("list").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-    marked = rows.join(major, "list")
-    one = marked.where(F.col("root") != F.col("major")).select("list", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("code").alias("cx"))
-    two = marked.select("list", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("code").alias("cy"), "major")
-    pairs = one.join(two, "list").where((F.col("rx") != F.col("ry")) & (F.abs(F.col("cx") - F.col("cy")) <= RATIO) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, label: str = "jaccard") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told, _ = stored(spark, scan(docs), f"{label}-scan")
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told, _ = stored(spark, scan(docs, spread_keys(spark, max(at_least, input_bytes(docs) // PART_BYTES))), f"{label}-scan")
     ids = told.where("kind = 0").select("doc_id", "n", "key")
-    often = told.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
+    often = told.where("kind = 1").select("key", "n")
     classes = ids.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total, prefixes = classes.agg(F.sum("n"), F.sum(F.ceil(F.col("n") / 4) + 1)).first()
     if not total:
         return ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     top = often.orderBy(F.col("n").desc(), "key").limit(HEAVY).collect()
-    order = Order(np.array([r.key for r in top], np.int64).view(_U), np.array([r.n for r in top], np.int64))
-    light = boundary(1 + sum(r.n * (r.n - 1) for r in top) / total)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(prefixes) * 16 / PART_BYTES))
+    order = Order(np.array([r.key for r in top], np.int64), np.array([r.n for r in top], np.int64))
+    light = boundary(1 + sum(r.n * (r.n - 1) for r in top) / (COUNTED * total))
+    parts = max(at_least, math.ceil(int(prefixes) * 16 / PART_BYTES))
     found, _ = stored(spark, lists(dealt(docs, order, light, spread_keys(spark, parts)), parts), f"{label}-lists")
-    first, _ = stored(spark, found.where("kind = 0").select("a", "b").distinct(), f"{label}-pairs")
-    members = found.where("kind = 1").select("a", "b", "code")
-    involved = first.select(F.col("a").alias("key")).union(first.select("b")).union(members.select("b")).distinct()
-    reps = classes.join(involved, "key", "left_semi").select("rep")
-    sets, _ = stored(spark, sets_of(docs, filter_of(reps)), f"{label}-sets")
-    links, _ = stored(spark, verified(first, sets), f"{label}-links")
+    groups, _ = stored(spark, grouped(found), f"{label}-groups")
+    reps = classes.join(groups.select(F.col("member").alias("key")).distinct(), "key", "left_semi").select("rep")
+    links, _ = stored(spark, links_in(groups, sets_of(docs, filter_of(reps))), f"{label}-links")
     roots = components(spark, links, f"{label}-round")
-    rest, _ = stored(spark, across(members, roots).join(first, ["a", "b"], "left_anti"), f"{label}-across")
-    if not rest.isEmpty():
-        more, _ = stored(spark, verified(rest, sets), f"{label}-more")
-        if not more.isEmpty():
-            roots = components(spark, links.unionByName(more), f"{label}-round")
     rooted = classes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_key = rooted.join(least, "root").select(F.col("key").alias("k"), "component_id")

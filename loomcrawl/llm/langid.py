@@ -285,7 +285,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
         return step
 
     schema = df.select(*taken).schema.add("lang_pred", "string").add("score", "double")
-    return map_batches(df.select(*taken), schema, make)
+    return map_batches(df.select(*taken), schema, make, rows=10_000)
 
 
 def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
