@@ -2,7 +2,8 @@
 
 The pre-tokenizer of these vocabularies puts a blank in front of the word that follows it. A blank or line feed that
 stands between two characters that are not white space therefore always begins a token, whatever the classes of the
-characters around it. Chunks begin at such places and nowhere else; longer runs of white space stay inside a chunk.
+characters around it. A comma or full stop between a letter or digit and white space is a token of its own. Chunks
+begin at such places and nowhere else; longer runs of white space stay inside a chunk.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ import os
 import re
 from collections.abc import Callable
 
-#: Distinct chunks that one task keeps; beyond it the cache starts anew. Bounds memory, never results.
-CACHE = 250_000
+#: Distinct chunks that a worker keeps at least, and at most twice. Bounds memory, never results.
+CACHE = 500_000
 
 _TWO = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -45,32 +46,53 @@ def added(path: str) -> list[str]:
 
 
 class Chunked:
-    """value(chunk) for all chunks of a text, from a cache; missing ones are asked for together."""
+    """value(chunk) for all chunks of a text, remembered; missing ones are asked for together.
 
-    def __init__(self, ask: Callable[[list[str]], list]):
-        self.ask, self.after_blank, self.whole = ask, {}, {}
+    Values are byte strings that concatenate. A chunk that ends in a stop is put together of its two tokens' parts.
+    """
 
-    def _fill(self, cache: dict, keys: list[str], as_chunk: Callable[[str], str]) -> None:
-        missing = [k for k in dict.fromkeys(keys) if k not in cache]
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = list(dict.fromkeys(keys))
-        cache.update(zip(missing, self.ask([as_chunk(k) for k in missing]), strict=True))
+    def __init__(self, ask: Callable[[list[str]], list], size: int = CACHE):
+        self.size = size
+        self.ask, self.whole, self.after_blank, self.stops = ask, ({}, {}), ({}, {}), {}
 
     def values(self, text: str) -> list:
         if not plain(text):
-            return self._of(chunks(text)) if text else []
-        parts = text.replace("\n", " \n").split(" ")
-        cache = self.after_blank
-        head, parts = self._of(parts[:1]), parts[1:]
+            return self._of("whole", chunks(text), str) if text else []
+        first, *parts = text.replace("\n", " \n").split(" ")
+        return self._of("whole", [first], str) + self._of("after_blank", parts, as_chunk)
+
+    def _of(self, name: str, parts: list[str], chunk: Callable[[str], str]) -> list:
+        new, old = getattr(self, name)
         try:
-            return head + [cache[p] for p in parts]
+            return [new[p] for p in parts]
         except KeyError:
-            self._fill(cache, parts, lambda k: k if k[0] == "\n" else f" {k}")
-            return head + [cache[p] for p in parts]
-
-    def _of(self, parts: list[str]) -> list:
-        cache = self.whole
-        if any(p not in cache for p in parts):
-            self._fill(cache, parts, lambda k: k)
-        return [cache[p] for p in parts]
+            pass
+        if len(new) > self.size:
+            new, old = {}, new
+            setattr(self, name, (new, old))
+        missing, stopped = {}, []
+        for p in set(parts).difference(new):
+            if p in old:
+                new[p] = old[p]
+            elif len(p) > 2 and p[-1] in ",." and p[-2].isalnum():
+                stopped.append(p)
+                if (stem := p[:-1]) not in new and stem not in old:
+                    missing[stem] = None
+            else:
+                missing[p] = None
+        if missing:
+            new.update(zip(missing, self.ask([chunk(p) for p in missing]), strict=True))
+        for p in stopped:
+            stem = p[:-1]
+            new[p] = (new[stem] if stem in new else old[stem]) + self._stop(p[-1])
+        return [new[p] for p in parts]
+
+    def _stop(self, stop: str):
+        if stop not in self.stops:
+            self.stops[stop] = self.ask([stop])[0]
+        return self.stops[stop]
+
+
+def as_chunk(part: str) -> str:
+    """The chunk of a part between blanks: with its blank, but for line feeds, which got one here."""
+    return part if part[0] == "\n" else f" {part}"

@@ -84,6 +84,36 @@ def spread_keys(spark: SparkSession, n: int) -> list[int]:
     return [found[i] for i in range(n)]
 
 
+_KEPT: dict[str, tuple[object, object]] = {}
+
+
+def kept(kind: str, key, make: Callable[[], object]):
+    """What make() returns, once in each Python worker and key: Spark gives a worker many tasks. One key of a kind is kept."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
+
+
+class Recent(dict):
+    """value(key) of keys, remembered for the last `size` to twice as many distinct ones. Bounds memory, never results."""
+
+    def __init__(self, size: int, value: Callable):
+        self.size, self.value, self.old = size, value, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.value(key)
+        self.room()
+        self[key] = found
+        return found
+
+    def room(self) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of what df reads."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

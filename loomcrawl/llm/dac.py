@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcrawl.llm import bytebpe
-from loomcrawl.llm.common import stored, table
+from loomcrawl.llm.common import kept, slices, stored, table
 
 MAGIC, END, FILE_IDS = b"DAC1", 2, 1 << 20
+#: Distinct chunks a worker remembers, at most twice as many: some 200 bytes each.
+CHUNKS = 800_000
 _HEAD = "<4sBBxxqqq"
 
 
@@ -114,7 +117,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tok = bytebpe.tokenizer(path)
         self.special = bytebpe.added(path)
-        self.cached = bytebpe.Chunked(lambda parts: [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)])
+        self.cached = bytebpe.Chunked(lambda parts: [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)], CHUNKS)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids; a text with an added token's string goes to the library whole."""
@@ -128,7 +131,7 @@ def write_files(docs: DataFrame, path: str, label: str) -> DataFrame:
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches):
-        encoder, part, seq, start = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, start = kept("dac", path, lambda: Encoder(path)), TaskContext.get().partitionId(), 0, 0
         ids, lengths, held, end = [], [], [], np.array([END], "<u4").tobytes()
 
         def flush():
@@ -140,7 +143,7 @@ def write_files(docs: DataFrame, path: str, label: str) -> DataFrame:
             return row
 
         size = 0
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 one = (encoder(text) if text else b"") + end
                 if held and size + len(one) > 4 * FILE_IDS:

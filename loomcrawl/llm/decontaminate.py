@@ -30,24 +30,30 @@ UNITS = "mm|cm|km|m|kg|g|mg|lb|lbs|oz|ml|l|s|ms|min|h|hours?|minutes?|seconds?|d
 _WORDS = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
-def marked_words(text: Column) -> Column:
-    """Lower-case words; slots begin with the mark of their type and keep their value."""
-    x = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}{UNIT}{NAME}]", " ")
-    x = F.regexp_replace(x, "(?<=[0-9])[.,](?=[0-9])", "")
-    x = F.regexp_replace(x, f"(?<![\\p{{L}}\\p{{N}}])([0-9]+)[ ]?((?i:{UNITS}))(?![\\p{{L}}\\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
-    x = F.regexp_replace(x, f"(?<![\\p{{L}}\\p{{N}}{NUMBER}])(?=[0-9])", NUMBER)
-    x = F.regexp_replace(x, "(?<=[\\p{Ll},;] )(?=\\p{Lu}\\p{Ll})", NAME)
-    return F.filter(F.split(F.lower(x), _WORDS), lambda w: w != "")
+_MARK = f"[{NUMBER}{UNIT}{NAME}]"
 
 
-def _type_or_word(w: Column) -> Column:
-    first = F.substring(w, 1, 1)
-    return F.when(first.isin(NUMBER, UNIT, NAME), first).otherwise(w)
+def marked(text: Column) -> Column:
+    """Lower-case text whose slot words begin with the mark of their type and keep their value (null: empty).
+
+    The rules for numbers are tried only on texts with a digit.
+    """
+    x = F.coalesce(text, F.lit(""))
+    x = F.when(x.rlike(_MARK), F.regexp_replace(x, _MARK, " ")).otherwise(x)
+    number = F.regexp_replace(x, "(?<=[0-9])[.,](?=[0-9])", "")
+    number = F.regexp_replace(number, f"(?<![\\p{{L}}\\p{{N}}])([0-9]+)[ ]?((?i:{UNITS}))(?![\\p{{L}}\\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
+    number = F.regexp_replace(number, f"(?<![\\p{{L}}\\p{{N}}{NUMBER}])(?=[0-9])", NUMBER)
+    x = F.when(x.rlike("[0-9]"), number).otherwise(x)
+    return F.lower(F.regexp_replace(x, " (?<=[\\p{Ll},;] )(?=\\p{Lu}\\p{Ll})", f" {NAME}"))
+
+
+def canonical(marked_text: Column) -> Column:
+    """Slot words cut down to their marks."""
+    return F.when(marked_text.rlike(_MARK), F.regexp_replace(marked_text, f"({_MARK})[\\p{{L}}\\p{{M}}\\p{{N}}]+", "$1")).otherwise(marked_text)
 
 
 def _hashes(words: Column) -> Column:
-    """A hash for each canonical word."""
-    return F.transform(words, lambda w: F.xxhash64(_type_or_word(w)))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _windows(h: Column, size: int = WINDOW) -> Column:
@@ -61,30 +67,36 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     An item's first word counts as it stands and, where it begins with a capital, as a name too: in a text that goes
     on around the item it stands within a sentence.
     """
-    words = benchmark.select("item_id", marked_words(F.col("text")).alias("w"), F.col("text").rlike("^\\P{L}*\\p{Lu}\\p{Ll}").alias("capital")).where(F.size("w") > 0)
-    both = words.select("item_id", F.explode(F.when(F.col("capital") & ~F.col("w")[0].startswith(NAME), F.array(F.col("w"), F.concat(F.array(F.concat(F.lit(NAME), F.col("w")[0])), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))))).otherwise(F.array("w"))).alias("w"))
-    sized = both.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))).withColumn("h", _hashes(F.col("w")))
-    short = F.array(F.xxhash64(F.array_join(F.col("h").cast("array<string>"), " ")))
-    listed = sized.select("item_id", "size", "w", F.when(F.col("size") == WINDOW, _windows(F.col("h"))).otherwise(short).alias("v"))
-    flat = listed.select("item_id", "size", F.size("v").alias("n_windows"), F.posexplode("v").alias("item_pos", "window"), "w")
+    words = benchmark.select("item_id", F.filter(F.split(marked(F.col("text")), _WORDS), lambda w: w != "").alias("w"), F.col("text").rlike("^\\P{L}*\\p{Lu}\\p{Ll}").alias("capital")).where(F.size("w") > 0)
+    as_name = F.concat(F.array(F.concat(F.lit(NAME), F.col("w")[0])), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))))
+    both = words.select("item_id", F.explode(F.when(F.col("capital") & ~F.col("w")[0].rlike(_MARK), F.array(F.col("w"), as_name)).otherwise(F.array("w"))).alias("w"))
+    plain = F.transform("w", lambda w: F.when(w.rlike(_MARK), F.substring(w, 1, 1)).otherwise(w))
+    sized = both.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))).withColumn("h", _hashes(plain))
+    listed = F.lit(None).cast("array<bigint>")
+    for size in range(1, WINDOW + 1):
+        listed = F.when(F.col("size") == size, _windows(F.col("h"), size)).otherwise(listed)
+    flat = sized.withColumn("v", listed).select("item_id", "size", F.posexplode("v").alias("item_pos", "window"), "w", F.size("v").alias("n_windows"))
     return flat.select("item_id", "size", "n_windows", "item_pos", "window", F.slice("w", F.col("item_pos") + 1, F.col("size")).alias("item_words")).dropDuplicates(["item_id", "item_pos", "window"])
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Equal windows: doc_id, doc_pos, doc_words, and the columns of items; items are broadcast if they are few."""
+    """Equal windows: doc_id, doc_pos, doc_words (null in texts without a slot), and the columns of items.
+
+    One pass over the texts: windows of all sizes that items have stand one after the other in one array. Items are
+    broadcast if they are few, else both sides are shuffled by window.
+    """
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda x: x)
-    words = docs.select("doc_id", marked_words(F.col("text")).alias("w")).select("doc_id", "w", _hashes(F.col("w")).alias("h"))
-    long = words.select("doc_id", "w", F.posexplode(_windows(F.col("h"))).alias("doc_pos", "window"))
-    found = [long.join(hint(items.where(F.col("size") == WINDOW)), "window").select("doc_id", "doc_pos", F.slice("w", F.col("doc_pos") + 1, F.lit(WINDOW)).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words")]
-    for size in sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect()):
-        joined = F.transform(F.sequence(F.lit(0), F.size("h") - size), lambda i, size=size: F.xxhash64(F.array_join(F.slice(F.col("h"), i + 1, size).cast("array<string>"), " ")))
-        short = words.where(F.size("h") >= size).select("doc_id", "w", F.posexplode(joined).alias("doc_pos", "window"))
-        found.append(short.join(hint(items.where(F.col("size") == size)), "window").select("doc_id", "doc_pos", F.slice("w", F.col("doc_pos") + 1, F.lit(size)).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    sizes = [WINDOW, *sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())]
+    texts = docs.select("doc_id", marked(F.col("text")).alias("m"))
+    slotted = F.when(F.col("m").rlike(_MARK), F.split("m", _WORDS))
+    words = texts.select("doc_id", slotted.alias("w"), _hashes(F.split(canonical(F.col("m")), _WORDS)).alias("h"))
+    windows = words.select("doc_id", "w", F.size("h").alias("n"), F.posexplode(F.concat(*[_windows(F.col("h"), size) for size in sizes])).alias("at", "window"))
+    found = windows.join(F.broadcast(items) if few else items, "window")
+    place, before = F.col("at"), F.lit(0)
+    for size in sizes:  # where the windows of an item's size begin
+        place = F.when(F.col("size") == size, F.col("at") - before).otherwise(place)
+        before = before + F.greatest(F.col("n") - size + 1, F.lit(0))
+    return found.withColumn("doc_pos", place).select("doc_id", "doc_pos", F.slice("w", F.col("doc_pos") + 1, F.col("size")).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
@@ -92,12 +104,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     found = hits(docs, item_windows(benchmark)).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
     key = ["doc_id", "item_id", "diagonal"]
     # A slot word of the item, of its type, and what stands in its place.
-    slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: F.substring(p["item_words"], 1, 1).isin(NUMBER, UNIT, NAME))
-    aligned = found.withColumn("slots", slots)
-    values = aligned.select(*key, F.explode("slots").alias("s")).groupBy(*key, F.col("s.item_words").alias("item_value")).agg(F.min("s.doc_words").alias("low"), F.max("s.doc_words").alias("high"))
-    verdict = values.groupBy(*key).agg(F.min(F.col("low") == F.col("high")).alias("consistent"), F.min((F.col("low") == F.col("item_value")) & (F.col("high") == F.col("item_value"))).alias("same"))
-    kept = aligned.select(*key, "item_pos", "n_windows").join(verdict, key, "left").where(F.coalesce("consistent", F.lit(True)))
-    per = kept.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_pos").cast("long").alias("matched"), F.min(F.coalesce("same", F.lit(True))).alias("same_values"))
+    slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].rlike(_MARK) & p["doc_words"].isNotNull())
+    # One row an alignment: on a diagonal an item's window meets one place, so the lists are as long as an item at most.
+    aligned = found.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.collect_list("item_pos").alias("places"), F.flatten(F.collect_list(slots)).alias("slots"))
+    items_own = F.array_distinct(F.col("slots.item_words"))
+    consistent = aligned.where(F.size(F.array_distinct("slots")) == F.size(items_own))
+    same = F.forall("slots", lambda p: p["item_words"] == p["doc_words"])
+    per = consistent.select("doc_id", "item_id", "n_windows", same.alias("same"), F.explode("places").alias("item_pos")).groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_pos").cast("long").alias("matched"), F.min("same").alias("same_values"))
     return per.where(F.col("matched") >= F.lit(cover) * F.col("n_windows")).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "matched", F.round(F.col("matched") / F.col("n_windows"), 6).alias("coverage"), "same_values")
 
 

@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcrawl.llm.common import input_bytes, map_batches, slices, spread_keys, stored, table
+from loomcrawl.llm.common import Recent, input_bytes, kept, map_batches, slices, spread_keys, stored, table
 from loomcrawl.llm.components import components
 
 WORDS = 5
@@ -52,10 +52,8 @@ _CODE, RATIO = 256, 107
 _U = np.uint64
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+def _word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +66,7 @@ class Shingler:
     """Sorted distinct shingle hashes of texts."""
 
     def __init__(self) -> None:
-        self.words = _Words()
+        self.words = Recent(CACHE, _word_hash)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -76,8 +74,6 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, _U)
-        if len(self.words) > CACHE:
-            self.words.clear()
         w = np.fromiter(map(self.words.__getitem__, words), _U, len(words))
         n, k = max(1, len(w) - WORDS + 1), min(WORDS, len(w))
         h = np.full(n, k, _U)
@@ -145,7 +141,7 @@ def scan(docs: DataFrame, parts: list[int]) -> DataFrame:
     counted, n_parts = _U(int(COUNTED * 2**32)), len(parts)
 
     def run(batches):
-        shingler, dealer, seen = Shingler(), Dealer(parts, 1), set()
+        shingler, dealer, seen = kept("shingler", 0, Shingler), Dealer(parts, 1), set()
 
         def told():
             part, [data] = dealer.dealt(lambda x: (_mix(x.astype(_U)) % _U(n_parts)).astype(np.int64))
@@ -221,7 +217,7 @@ def dealt(docs: DataFrame, order: Order, light: int, parts: list[int]) -> DataFr
     n_parts = len(parts)
 
     def run(batches):
-        shingler, dealer, seen = Shingler(), Dealer(parts, 2), set()
+        shingler, dealer, seen = kept("shingler", 0, Shingler), Dealer(parts, 2), set()
 
         def told():
             part, data = dealer.dealt(lambda a: (_mix(a >> _U(16)) % _U(n_parts)).astype(np.int64))
@@ -340,7 +336,7 @@ def sets_of(docs: DataFrame, found: bytes) -> DataFrame:
     """key and shingles (packed) of the rows whose doc_id passes the filter, once a task and key."""
 
     def make():
-        shingler, seen = Shingler(), set()
+        shingler, seen = kept("shingler", 0, Shingler), set()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = b.column(0).cast(pa.int64())

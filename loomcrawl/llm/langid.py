@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcrawl.llm.common import map_batches, table, texts_of
+from loomcrawl.llm.common import kept, map_batches, table, texts_of
 
 UNKNOWN = "und"
 PER_LANGUAGE, SEGMENTS, SEGMENT = 250, 6, 32
@@ -55,6 +55,10 @@ class Model:
         self._place: dict[str, int] = {}
         self._scores = np.zeros((1024, len(languages)))
 
+    def worker(self) -> Model:
+        """This model, or its equal that the Python worker already has, with the words that it has scored."""
+        return kept("langid", zlib.crc32(self.weights.tobytes() + self.transitions.tobytes()), lambda: self)
+
     def __getstate__(self):
         return {**self.__dict__, "_place": {}, "_scores": np.zeros((1024, len(self.languages)))}
 
@@ -271,15 +275,17 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
     at = taken.index("text")
 
     def make():
+        own = model and model.worker()
+
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(b.column(at))
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if model is not None:
+            if own is not None:
                 for lo, hi in _slices(texts):
-                    for place, _, sequences in _grouped(model, texts[lo:hi]):
-                        means = model.marginals(sequences)
+                    for place, _, sequences in _grouped(own, texts[lo:hi]):
+                        means = own.marginals(sequences)
                         for i, k, x in zip(place, means.argmax(axis=1), means.max(axis=1), strict=True):
-                            langs[lo + i], scores[lo + i] = model.languages[k], min(1.0, float(x))
+                            langs[lo + i], scores[lo + i] = own.languages[k], min(1.0, float(x))
             return pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*taken, "lang_pred", "score"])
 
         return step

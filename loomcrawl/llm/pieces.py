@@ -23,7 +23,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcrawl.llm.common import map_batches, table, texts_of
+from loomcrawl.llm.common import Recent, kept, map_batches, table, texts_of
 
 BLANK, END, CACHE = "▁", 2, 250_000
 _BEFORE_BLANK = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
@@ -43,8 +43,10 @@ class Agenda:
         self.byte = {int(p[3:5], 16): i for p, i in kinds if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.lone = not any(BLANK in p.lstrip(BLANK) for p in self.piece) and not any("\n" in p for p in self.piece)
-        self.after_blank: dict[str, tuple[int, ...]] = {}
-        self.whole: dict[str, tuple[int, ...]] = {}
+        #: Stops that no piece has behind a letter or digit: a merge never reaches over the place between.
+        self.stop = {c: self.chunk(c) for c in ",." if not any(c in p[1:] and any(a.isalnum() and b == c for a, b in zip(p, p[1:], strict=False)) for p in self.piece)}
+        self.whole = Recent(CACHE, self.chunk)
+        self.after_blank = Recent(CACHE, self._part)
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a string in which blanks are already signs."""
@@ -85,6 +87,12 @@ class Agenda:
                     out.append(self.unknown)
         return tuple(out)
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        """Ids of what stands between two blanks: with the sign of its blank, but for line feeds, which got one here."""
+        if len(part) > 1 and part[-1] in self.stop and part[-2].isalnum():
+            return self.after_blank[part[:-1]] + self.stop[part[-1]]
+        return self.chunk(part if part[:1] == "\n" else BLANK + part)
+
     def __call__(self, text: str) -> list[int]:
         if not text:
             return []
@@ -94,15 +102,7 @@ class Agenda:
             cache, parts = self.after_blank, text.replace("\n", " \n").split(" ")
         else:
             cache, parts = self.whole, _BEFORE_BLANK.split(BLANK + text.replace(" ", BLANK))
-        try:
-            return list(chain.from_iterable([cache[p] for p in parts]))
-        except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            for p in parts:
-                if p not in cache:
-                    cache[p] = self.chunk(p if cache is self.whole or p[:1] == "\n" else BLANK + p)
-            return list(chain.from_iterable([cache[p] for p in parts]))
+        return list(chain.from_iterable([cache[p] for p in parts]))
 
 
 def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
@@ -111,7 +111,7 @@ def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
     kinds = [None, pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.string()]
 
     def make():
-        agenda = Agenda(path)
+        agenda = kept("agenda", path, lambda: Agenda(path))
         sp = agenda.sp
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomcrawl.llm import bytebpe
-from loomcrawl.llm.common import map_batches, table, texts_of
+from loomcrawl.llm.common import Recent, kept, map_batches, table, texts_of
 
 LIMIT = 512
 _PAIRS = 500_000
@@ -50,7 +50,7 @@ class PrefixCounter:
         self.cut = bytebpe.tokenizer(path).pre_tokenizer.pre_tokenize_str
         self.special = bytebpe.added(path)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words = Recent(bytebpe.CACHE, self._word)
         self.cached = bytebpe.Chunked(lambda parts: [self._changes(self._counts(p)) for p in parts])
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -74,8 +74,9 @@ class PrefixCounter:
 
     def word(self, text: str) -> list[int]:
         """Counts of the prefixes of one pre-token, one per code point."""
-        if (known := self.words.get(text)) is not None:
-            return known
+        return self.words[text]
+
+    def _word(self, text: str) -> list[int]:
         data, vocab, longest = text.encode("utf-8", "surrogatepass"), self.vocab, self.longest
         last, count = [b""], [0]
         for j in range(1, len(data) + 1):
@@ -85,11 +86,7 @@ class PrefixCounter:
                     break
             last.append(t)
             count.append(count[i] + 1)
-        out = count[1:] if len(data) == len(text) else [count[e] for e in itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
-        if len(self.words) >= bytebpe.CACHE:
-            self.words.clear()
-        self.words[text] = out
-        return out
+        return count[1:] if len(data) == len(text) else [count[e] for e in itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
 
     def _counts(self, text: str) -> list[int]:
         """Counts of all prefixes of a text without added tokens."""
@@ -150,7 +147,7 @@ def token_counts(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "do
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, cut_chars long" + ", changes binary" * keep
 
     def make():
-        counter = PrefixCounter(path)
+        counter = kept("prefix", path, lambda: PrefixCounter(path))
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             sizes, totals, cuts, forms = [], [], [], []
