@@ -1,4 +1,396 @@
-"""The library's queries and their SQL."""
+"""The library's queries over the Parquet tables of a data set, each with the same thing in DuckDB's SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomcrawl.functions import html, text, urls
+from loomcrawl.functions.fixed import BLOG, DOCUMENTATION, IGNORED_EXTENSIONS, LANGUAGE_WORDS, LINK_EXTENSIONS, LINK_HOSTS, NEWS, PRODUCT, STOP_WORDS, TRACKING_KEYS
+from loomcrawl.operators import crawl, frontier, index
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _pages(spark, sf):
+    return _table(spark, sf, "pages")
+
+
+def _docs(spark, sf):
+    return _table(spark, sf, "documents")
+
+
+def _events(spark, sf):
+    """Crawl completions: the user stands for the domain, value / 50 for the seconds, type error for failure."""
+    e = _table(spark, sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").alias("id"), "ts", (F.col("event_type") != "error").alias("ok"), (F.col("value") / 50).alias("seconds"), (F.col("user_id") % 4).cast("int").alias("shard"))
+
+
+def _list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_U = f"""u AS (SELECT *, CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN trim(url) ELSE 'https://' || trim(url) END AS w FROM pages),
+v AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), ':(80|443)$', '') AS h,
+ regexp_replace(regexp_replace(regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), ';[^/]*$', '') AS p,
+ array_to_string(list_sort(list_filter(string_split(regexp_extract(w, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND lower(regexp_extract(x, '^([^=]*)', 1)) NOT IN ({_list(TRACKING_KEYS)}))), '&') AS q FROM u),
+n AS (SELECT *, CASE WHEN length(trim(url)) >= 10 AND h <> '' AND NOT regexp_matches(lower(p), '\\.({"|".join(IGNORED_EXTENSIONS)})$')
+ THEN 'https://' || h || (CASE WHEN p = '' OR p = '/' THEN '/' WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') END) || (CASE WHEN q = '' THEN '' ELSE '?' || q END) END AS nu FROM v),
+a AS (SELECT *, sha256(nu) AS url_hash, regexp_replace(lower(regexp_extract(nu, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS dom,
+ greatest(1, 100 + CASE WHEN right(nu, 1) = '/' OR length(nu) - length(replace(nu, '/', '')) <= 3 THEN 20 ELSE 0 END + CASE WHEN regexp_matches(lower(nu), 'news|blog|article|post') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(lower(nu), 'archive|tag|category|page=') THEN 15 ELSE 0 END) AS pr FROM n)"""
+
+
+@query(f"WITH {_U} SELECT page_id, nu AS normalized_url FROM a")
+def url_normalize(spark, sf):
+    return _pages(spark, sf).select("page_id", urls.normalize(F.col("url")).alias("normalized_url"))
+
+
+@query(f"WITH {_U} SELECT page_id, dom AS domain, CAST(pr AS INT) AS priority FROM a")
+def url_priority(spark, sf):
+    n = urls.normalize(F.col("url"))
+    return _pages(spark, sf).select("page_id", n.alias("n")).select("page_id", urls.domain(F.col("n")).alias("domain"), urls.priority(F.col("n")).alias("priority"))
+
+
+@query(f"WITH {_U} SELECT page_id, url_hash, md5(lower(regexp_extract(nu, '^[a-z]+://([^/?#]*)', 1) || regexp_extract(nu, '^[a-z]+://[^/?#]*([^?#]*)', 1))) AS fuzzy_hash FROM a")
+def url_hashes(spark, sf):
+    n = _pages(spark, sf).select("page_id", urls.normalize(F.col("url")).alias("n"))
+    return n.select("page_id", urls.url_hash(F.col("n")).alias("url_hash"), urls.fuzzy_hash(F.col("n")).alias("fuzzy_hash"))
+
+
+def _admitted(spark, sf):
+    return frontier.admit(_pages(spark, sf).select("page_id", "url", F.lit(0).alias("depth"), F.col("page_id").alias("created_at")))
+
+
+_ADMIT = f"WITH {_U}, d AS (SELECT *, CASE WHEN nu IS NULL THEN 'error' WHEN row_number() OVER (PARTITION BY url_hash ORDER BY page_id, url) > 1 THEN 'exact' ELSE 'new' END AS status FROM a)"
+
+
+@query(f"{_ADMIT} SELECT page_id, url_hash, status FROM d")
+def url_exact_dedup(spark, sf):
+    return _admitted(spark, sf).select("page_id", "url_hash", "status")
+
+
+@query(f"{_ADMIT} SELECT count(*) AS received, count(*) FILTER (status <> 'error') AS normalized, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'error') AS error FROM d")
+def frontier_stats(spark, sf):
+    return frontier.admission_counts(_admitted(spark, sf))
+
+
+@query(f"{_ADMIT} SELECT page_id, nu AS normalized_url, CAST(pr AS INT) AS priority FROM d WHERE status = 'new' ORDER BY pr DESC, page_id, url_hash LIMIT 100")
+def priority_queue_topk(spark, sf):
+    return frontier.priority_queue(_admitted(spark, sf), 100).select("page_id", "normalized_url", "priority")
+
+
+@query(f"{_ADMIT} SELECT dom AS domain, count(*) AS total_urls FROM d WHERE status = 'new' GROUP BY 1")
+def domain_url_counts(spark, sf):
+    return _admitted(spark, sf).where("status = 'new'").groupBy("domain").agg(F.count("*").alias("total_urls"))
+
+
+@query(f"WITH {_U} SELECT page_id, CAST(('0x' || right(md5(dom), 1))::INT % 4 AS INT) AS shard, 'fetch_queue_shard_' || (('0x' || right(md5(dom), 1))::INT % 4) AS topic FROM a")
+def hash_shard(spark, sf):
+    d = urls.domain(urls.normalize(F.col("url")))
+    return _pages(spark, sf).select("page_id", urls.hash_shard(d).alias("shard")).withColumn("topic", F.concat(F.lit("fetch_queue_shard_"), "shard"))
+
+
+@query("SELECT event_id AS id, CAST(row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_id) % 4 AS INT) AS shard FROM events")
+def round_robin_shard(spark, sf):
+    """Rounds begin anew each day: the ordered window is a day's, not the whole table's."""
+    from pyspark.sql import Window
+
+    e = _events(spark, sf)
+    return e.select("id", (F.row_number().over(Window.partitionBy(F.date_trunc("day", F.col("ts"))).orderBy("id")) % 4).cast("int").alias("shard"))
+
+
+_E = "e AS (SELECT CAST(user_id AS VARCHAR) AS domain, event_id AS id, ts, event_type <> 'error' AS ok, value / 50 AS seconds, CAST(user_id % 4 AS INT) AS shard, CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute FROM events)"
+
+
+@query(f"WITH {_E} SELECT shard, minute, count(*) AS n FROM e GROUP BY ALL")
+def shard_load_minute(spark, sf):
+    return crawl.shard_loads(_events(spark, sf))
+
+
+@query(f"WITH {_E} SELECT shard, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM e GROUP BY shard")
+def shard_distribution(spark, sf):
+    return crawl.distribution(_events(spark, sf))
+
+
+@query(f"WITH {_E}, l AS (SELECT shard, count(*) AS n FROM e GROUP BY 1) SELECT max(n) AS most, min(n) AS least, round(avg(n), 6) AS mean, round(max(n)::DOUBLE / greatest(min(n), 1), 6) AS ratio, max(n)::DOUBLE / greatest(min(n), 1) >= 2 AS act FROM l")
+def shard_imbalance(spark, sf):
+    return crawl.imbalance(_events(spark, sf))
+
+
+@query(f"WITH {_E}, p AS (SELECT id, row_number() OVER (PARTITION BY shard, minute ORDER BY ts, id) AS place FROM e) SELECT id, place FROM p WHERE place > 2")
+def shard_overload(spark, sf):
+    return crawl.overloaded(_events(spark, sf), 2).select("id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT CAST(floor(epoch(ts) / 30) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1")
+def delay_buckets(spark, sf):
+    return _events(spark, sf).groupBy(crawl.bucket(F.col("ts")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_E}, g AS (SELECT domain, id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY domain ORDER BY ts, id))) AS BIGINT) AS gap FROM e) SELECT domain, id, gap FROM g WHERE gap < 3600")
+def crawl_delay_violations(spark, sf):
+    return crawl.gaps(_events(spark, sf)).where("gap < 3600").select("domain", "id", "gap")
+
+
+@query(f"WITH {_E}, p AS (SELECT domain, id, row_number() OVER (PARTITION BY domain, minute ORDER BY ts, id) AS n FROM e) SELECT domain, id, n FROM p WHERE n > 1")
+def rate_limit_violations(spark, sf):
+    return crawl.over_rate(_events(spark, sf), 1).select("domain", "id", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""WITH {_E}, g AS (SELECT id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY domain ORDER BY ts, id))) AS BIGINT) AS gap, row_number() OVER (PARTITION BY domain, minute ORDER BY ts, id) AS n FROM e)
+SELECT id, CASE WHEN gap < 600 THEN 'crawl_delay' WHEN n - 1 >= 1 THEN 'rate_limit' END AS reason, CAST(CASE WHEN gap < 600 THEN 600.0 - gap WHEN n - 1 >= 1 THEN 10.0 ELSE 0.0 END AS DOUBLE) AS wait FROM g""")
+def politeness_gate(spark, sf):
+    return crawl.gate(_events(spark, sf), 600.0, 1).select("id", "reason", F.col("wait").cast("double").alias("wait"))
+
+
+@query(f"WITH {_E} SELECT domain, id, count(*) OVER w AS requests, CAST(sum(ok::INT) OVER w AS BIGINT) AS successes, round(sum(CASE WHEN seconds > 0 THEN seconds ELSE 0 END) OVER w / count(*) OVER w, 6) AS avg_response FROM e WINDOW w AS (PARTITION BY domain ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
+def domain_running_stats(spark, sf):
+    return crawl.running(_events(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, id) AS k FROM e),
+s AS (SELECT domain, k, 0 AS n, 0 AS good, 0::DOUBLE AS av, 1::DOUBLE AS delay FROM (SELECT domain, 0::BIGINT AS k FROM o GROUP BY domain)
+ UNION ALL SELECT s.domain, o.k, s.n + 1, s.good + o.ok::INT, z.av, CASE WHEN s.n + 1 < 10 THEN s.delay WHEN (s.good + o.ok::INT)::DOUBLE / (s.n + 1) < 0.8 OR z.av > 5 THEN least(s.delay * 1.5, 10) WHEN (s.good + o.ok::INT)::DOUBLE / (s.n + 1) > 0.95 AND z.av < 1 THEN greatest(s.delay * 0.8, 0.5) ELSE s.delay END
+ FROM s JOIN o ON o.domain = s.domain AND o.k = s.k + 1, LATERAL (SELECT CASE WHEN o.seconds > 0 THEN (s.av * s.n + o.seconds) / (s.n + 1) ELSE s.av END AS av) z)
+SELECT domain, CAST(n AS INT) AS requests, round(av, 6) AS avg_response, round(delay, 6) AS delay FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY k DESC) AS r FROM s) WHERE r = 1""")
+def adaptive_delay(spark, sf):
+    return crawl.adaptive_delay(_events(spark, sf))
+
+
+_PLAIN = "coalesce(html, '')"
+for _tag in ("script", "style", "nav", "footer", "header"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?is)<{_tag}[ >].*?</{_tag}>', ' ', 'g')"
+_PLAIN = f"regexp_replace(regexp_replace({_PLAIN}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+_PLAIN = f"trim(regexp_replace({_PLAIN}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+_TITLE = "left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 200)"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?is)<html[^>]*lang=[\"'']([^\"'']*)', 1) AS lang, len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS links, len(regexp_extract_all(html, '(?i)<img [^>]*src=')) AS images FROM pages")
+def page_metadata(spark, sf):
+    h = F.col("html")
+    return _pages(spark, sf).select("page_id", html.title(h).alias("title"), html.lang(h).alias("lang"), html.count_links(h).cast("long").alias("links"), html.count_images(h).cast("long").alias("images"))
+
+
+@query(f"SELECT page_id, {_PLAIN} AS text FROM pages")
+def page_text(spark, sf):
+    return _pages(spark, sf).select("page_id", html.plain_text(F.col("html")).alias("text"))
+
+
+@query(f"WITH t AS (SELECT page_id, {_PLAIN} AS a, {_TITLE} AS b FROM pages) SELECT page_id, length(CASE WHEN length(trim(a)) > 200 THEN a WHEN length(trim(b)) > 200 THEN b WHEN length(trim(a)) > 100 AND length(a) >= (CASE WHEN length(trim(b)) > 100 THEN length(b) ELSE 0 END) THEN a WHEN length(trim(b)) > 100 THEN b ELSE '' END) AS n FROM t")
+def select_best_content(spark, sf):
+    h = F.col("html")
+    return _pages(spark, sf).select("page_id", F.length(html.best_content(html.plain_text(h), html.title(h))).cast("long").alias("n"))
+
+
+_LINKS = f"""l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)', 1)) AS anchor, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages),
+m AS (SELECT *, regexp_replace(trim(href), '#.*$', '') AS h FROM l),
+x AS (SELECT *, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h AS w FROM m WHERE left(h, 1) = '/' AND left(h, 2) <> '//'),
+y AS (SELECT *, lower(regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS hst, regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM x),
+z AS (SELECT *, lower(regexp_extract(w, '^([A-Za-z]+)', 1)) || '://' || hst || (CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END) || regexp_extract(w, '^[^?#]*(\\?[^#]*)', 1) AS target_url FROM y WHERE hst <> '' AND NOT regexp_matches(lower(p), '\\.({"|".join(LINK_EXTENSIONS)})$') AND NOT regexp_matches(hst, '{"|".join(h.replace(".", chr(92) + ".") for h in LINK_HOSTS)}')),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, target_url ORDER BY pos) AS r FROM z)"""
+
+
+@query(f"WITH {_LINKS} SELECT page_id, url AS source_url, target_url, left(trim(anchor), 200) AS anchor_text, 'internal' AS link_type, 1 AS crawl_depth, md5(url || '-' || target_url) AS link_id FROM k WHERE r = 1")
+def link_docs(spark, sf):
+    """All links of the tables' pages are root-relative, so the SQL has that case only."""
+    return index.links(_pages(spark, sf)).drop("domain", "target_domain")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, count(*) AS links FROM k WHERE r = 1 GROUP BY 1")
+def link_graph_degrees(spark, sf):
+    return index.links(_pages(spark, sf)).groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+@query(f"WITH {_LINKS} SELECT target_url AS url, count(*) AS sources, 5 AS priority, 1 AS depth FROM k WHERE r = 1 GROUP BY 1")
+def discovered_urls(spark, sf):
+    found = index.links(_pages(spark, sf)).where(F.col("link_type").isin("internal", "external"))
+    return found.groupBy(F.col("target_url").alias("url")).agg(F.count("*").alias("sources")).withColumns({"priority": F.lit(5), "depth": F.lit(1)})
+
+
+_WS = "list_filter(regexp_split_to_array({t}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
+
+
+def _counts(t: str, source: str, keep: str) -> str:
+    return f"""c AS (SELECT {keep}, {t} AS t FROM {source}),
+d AS (SELECT *, length(t) AS characters, len({_WS.format(t="t")}) AS words, CASE WHEN length(trim(t)) > 0 THEN greatest(len(regexp_extract_all(t, '[.!?]+(\\s|$)')), 1) ELSE 0 END AS sentences,
+ len(list_filter(string_split(t, chr(10) || chr(10)), lambda x: length(trim(replace(x, chr(10), ''))) > 0)) AS paragraphs, len(regexp_extract_all(lower(t), '[aeiouyáàâäéèêëíîïóôöúùûü]+')) AS syllables, len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]')) AS letters,
+ CASE WHEN len({_WS.format(t="lower(t)")}) > 0 THEN len(list_distinct({_WS.format(t="lower(t)")}))::DOUBLE / len({_WS.format(t="lower(t)")}) ELSE 0 END AS ratio FROM c),
+r AS (SELECT *, CASE WHEN words > 0 THEN 206.835 - 1.015 * (words::DOUBLE / sentences) - 84.6 * (syllables::DOUBLE / words) ELSE 0 END AS ease, CASE WHEN words > 0 THEN 0.39 * (words::DOUBLE / sentences) + 11.8 * (syllables::DOUBLE / words) - 15.59 ELSE 0 END AS grade, CASE WHEN words > 0 THEN 4.71 * (letters::DOUBLE / words) + 0.5 * (words::DOUBLE / sentences) - 21.43 ELSE 0 END AS ari FROM d)"""
+
+
+def _quality(title: str) -> str:
+    return f"least(100.0, CASE WHEN words >= 300 THEN 25 WHEN words >= 150 THEN 15 WHEN words >= 50 THEN 10 ELSE 0 END + CASE WHEN paragraphs >= 3 THEN 10 ELSE 0 END + CASE WHEN sentences >= 5 THEN 10 ELSE 0 END + CASE WHEN ease BETWEEN 60 AND 80 THEN 20 WHEN ease BETWEEN 40 AND 90 THEN 15 WHEN ease > 0 THEN 10 ELSE 0 END + CASE WHEN length({title}) > 10 THEN 8 ELSE 0 END + least(20.0, 25.0 * ratio))"
+
+
+def _type(t: str, title: str) -> str:
+    has = lambda c, terms: "(" + " OR ".join(f"contains(lower({c}), '{x}')" for x in terms) + ")"
+    return f"CASE WHEN {has(t, NEWS)} OR {has(title, NEWS)} THEN 'news' WHEN {has(t, BLOG)} OR {has(title, BLOG)} THEN 'blog' WHEN {has(t, PRODUCT)} THEN 'product' WHEN {has(t, DOCUMENTATION)} OR {has(title, DOCUMENTATION)} THEN 'documentation' ELSE 'article' END"
+
+
+_DOC = _counts("coalesce(text, '')", "documents", "doc_id, source, lang")
+_DTITLE = "left(string_split(t, chr(10))[1], 200)"
+
+
+def _title(t: str = "text"):
+    return F.left(F.split(F.coalesce(F.col(t), F.lit("")), "\n")[0], F.lit(200))
+
+
+@query(f"WITH {_DOC} SELECT doc_id, characters, words, sentences, paragraphs, round(ratio, 6) AS unique_ratio, round(words / 200.0, 6)::DOUBLE AS reading_minutes FROM r")
+def doc_counts(spark, sf):
+    t = F.col("text")
+    n = lambda c: c.cast("long")
+    return _docs(spark, sf).select("doc_id", n(F.length(t)).alias("characters"), n(F.size(text.words(t))).alias("words"), n(text.sentence_count(t)).alias("sentences"), n(text.paragraph_count(t)).alias("paragraphs"), F.round(text.unique_ratio(t), 6).alias("unique_ratio"), F.round(text.reading_minutes(t), 6).alias("reading_minutes"))
+
+
+@query(f"WITH {_DOC} SELECT doc_id, round(ease, 7) AS flesch_reading_ease, round(grade, 7) AS flesch_kincaid_grade, round(ari, 7) AS automated_readability_index FROM r")
+def readability(spark, sf):
+    return _docs(spark, sf).select("doc_id", *[F.round(c, 7).alias(k) for k, c in text.readability(F.col("text")).items()])
+
+
+def _indexed(spark, sf) -> DataFrame:
+    """documents as index documents: first line for the title, source for the domain."""
+    t = F.col("text")
+    counts = _docs(spark, sf).select("doc_id", F.col("doc_id").alias("id"), "source", "lang", t.alias("content"), _title().alias("title"), F.size(text.words(t)).alias("w"), text.sentence_count(t).alias("s"), text.paragraph_count(t).alias("p"), text.readability(t)["flesch_reading_ease"].alias("e"), text.unique_ratio(t).alias("r"))
+    return counts.withColumn("quality_score", F.round(text.quality(F.col("w"), F.col("p"), F.col("s"), F.col("e"), F.col("title"), F.lit(""), F.col("r")), 4)).drop("w", "s", "p", "e", "r")
+
+
+_INDEXED = f"{_DOC}, ix AS (SELECT doc_id, source, lang, t, {_DTITLE} AS title, round({_quality(_DTITLE)}, 4)::DOUBLE AS quality_score FROM r)"
+
+
+@query(f"WITH {_INDEXED} SELECT doc_id, quality_score FROM ix")
+def doc_quality(spark, sf):
+    return _indexed(spark, sf).select("doc_id", "quality_score")
+
+
+@query(f"WITH {_DOC} SELECT doc_id, {_type('t', _DTITLE)} AS content_type FROM r")
+def doc_type(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.content_type(F.col("text"), _title()).alias("content_type"))
+
+
+_LANG = ", ".join(f"len(list_filter(w, lambda x: x IN ({_list(own)}))) AS {lang}" for lang, own in sorted(LANGUAGE_WORDS.items()))
+
+
+@query(f"WITH c AS (SELECT doc_id, {_WS.format(t='lower(text)')} AS w FROM documents), s AS (SELECT doc_id, {_LANG} FROM c) SELECT doc_id, CASE greatest(de, en, es, fr) WHEN 0 THEN 'unknown' WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END AS language FROM s")
+def doc_language(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.language(F.col("text")).alias("language"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '(\\p{{L}}+)'), lambda x: length(x) > 3 AND x NOT IN ({_list(STOP_WORDS)})) AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM c), g AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM e GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM g) SELECT doc_id, word, n, rank FROM k WHERE rank <= 10""")
+def doc_keywords(spark, sf):
+    """Ten most frequent of a text's words, the earlier first of equals."""
+    w = _docs(spark, sf).select("doc_id", text.keyword_candidates(F.col("text")).alias("w"))
+    rows = w.select("doc_id", F.posexplode("w").alias("pos", "word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    top = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "first", "word"))), 1, 10).alias("k"))
+    return top.select("doc_id", F.posexplode("k").alias("rank", "k")).select("doc_id", F.col("k.word").alias("word"), (-F.col("k.neg")).alias("n"), (F.col("rank") + 1).cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS original_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN 'indexed' ELSE 'deduplicated' END AS action FROM documents")
+def content_dedup(spark, sf):
+    return index.content_dedup(_docs(spark, sf))
+
+
+_CONTENT = f"""{_counts(_PLAIN, "pages", f"page_id, url, html, {_TITLE} AS title")},
+cd AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain, title, t AS content, sha256(t) AS content_hash, length(t) AS content_length, words AS word_count, len(regexp_extract_all(html, '(?i)<a [^>]*href=')) AS links_count, {_type("t", "title")} AS content_type, coalesce(nullif(regexp_extract(html, '(?is)<html[^>]*lang=["'']([^"'']*)', 1), ''), 'unknown') AS language, round({_quality("title")}, 4)::DOUBLE AS quality_score FROM r)"""
+
+
+@query(f"WITH {_CONTENT} SELECT * FROM cd")
+def content_docs(spark, sf):
+    return index.content_documents(_pages(spark, sf))
+
+
+@query(f"WITH {_CONTENT} SELECT domain, count(*) AS pages_count, round(avg(quality_score), 4) AS avg_quality, CAST(sum(content_length) AS BIGINT) AS total_length, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages, array_to_string(list_sort(list(DISTINCT content_type)), ',') AS content_types FROM cd GROUP BY domain")
+def domain_rollup(spark, sf):
+    return index.domain_rollup(index.content_documents(_pages(spark, sf)))
+
+
+_BM25_TERMS = ("the", "that")
+
+
+def _bm25(terms: tuple[str, ...]) -> str:
+    ins, parts = [], []
+    for f, boost, c in (("title", 3.0, _DTITLE), ("content", 1.0, "t")):
+        tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{k}" for k, t in enumerate(terms))
+        ins.append(f"w_{f} AS (SELECT doc_id, regexp_extract_all(lower({c}), '(\\p{{L}}+)') AS w FROM c), t_{f} AS (SELECT doc_id, len(w) AS dl, {tf} FROM w_{f}), s_{f} AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{k} > 0) AS df{k}' for k in range(len(terms)))} FROM t_{f})")
+        total = " + ".join(f"ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(terms)))
+        parts.append(f"SELECT doc_id, {boost} * ({total}) AS score FROM t_{f}, s_{f} WHERE {' AND '.join(f'tf{k} > 0' for k in range(len(terms)))}")
+    return f"{_INDEXED}, {', '.join(ins)}, sc AS (SELECT doc_id, max(score) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY doc_id)"
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 50")
+def search_bm25(spark, sf):
+    return index.search(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS), size=50)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, round(score, 6) AS score FROM sc JOIN ix USING (doc_id) WHERE lang IN ('en') AND source IN ('src1', 'src2') AND quality_score >= 30")
+def search_filtered(spark, sf):
+    r = index.SearchRequest(" ".join(_BM25_TERMS), filters={"lang": ["en"], "source": ["src1", "src2"]}, min_quality=30)
+    return index.hits(_indexed(spark, sf), r).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, quality_score FROM sc JOIN ix USING (doc_id) ORDER BY quality_score DESC, doc_id LIMIT 20")
+def search_sorted_quality(spark, sf):
+    return index.search(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS), sort="quality", size=20)).select("doc_id", "quality_score")
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20")
+def search_paged(spark, sf):
+    return index.search(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS), page=3, size=10)).select("doc_id")
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)} SELECT source AS key, count(*) AS n FROM sc JOIN ix USING (doc_id) GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
+def facet_terms(spark, sf):
+    return index.facet(index.hits(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS))), "source", 10)
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)}, b AS (SELECT CASE WHEN quality_score < 25 THEN 'low' WHEN quality_score < 50 THEN 'medium' WHEN quality_score < 75 THEN 'good' WHEN quality_score < 100 THEN 'excellent' END AS key FROM sc JOIN ix USING (doc_id)) SELECT l.key, count(b.key) AS n FROM (VALUES ('low'), ('medium'), ('good'), ('excellent')) l(key) LEFT JOIN b ON b.key = l.key GROUP BY 1")
+def facet_quality_ranges(spark, sf):
+    return index.quality_ranges(index.hits(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS))))
+
+
+@query("SELECT DISTINCT title FROM (SELECT left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 200) AS title FROM pages) WHERE starts_with(lower(title), 'th') ORDER BY title LIMIT 20")
+def suggest_titles(spark, sf):
+    return index.suggest(_pages(spark, sf).select(html.title(F.col("html")).alias("title")), "th", 20)
+
+
+@query(f"WITH {_INDEXED} SELECT count(*) AS documents, count(DISTINCT source) AS domains, count(DISTINCT lang) AS languages, min(quality_score) AS min_quality, max(quality_score) AS max_quality, round(avg(quality_score), 2) AS avg_quality FROM ix")
+def analytics_overview(spark, sf):
+    return _indexed(spark, sf).agg(F.count("*").alias("documents"), F.countDistinct("source").alias("domains"), F.countDistinct("lang").alias("languages"), F.min("quality_score").alias("min_quality"), F.max("quality_score").alias("max_quality"), F.round(F.avg("quality_score"), 2).alias("avg_quality"))
+
+
+@query("SELECT source AS key, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, key LIMIT 50")
+def domains_list(spark, sf):
+    return index.facet(_docs(spark, sf), "source", 50)
+
+
+@query()
+def fuzzy_url_dedup(spark, sf):
+    """Best fuzzy match of every admitted URL among the newest of its domain (no SQL: the score is an indel ratio)."""
+    known = _admitted(spark, sf).where("status = 'new'").select("domain", "normalized_url", "created_at")
+    return frontier.fuzzy_matches(known.select("domain", "normalized_url"), known)
+
+
+@query()
+def search_fuzzy(spark, sf):
+    """As search_bm25, with one edit allowed in terms of three to five letters and two in longer ones."""
+    return index.search(_indexed(spark, sf), index.SearchRequest("that from", fuzzy=True, size=50)).select("doc_id", F.round("score", 6).alias("score"))
