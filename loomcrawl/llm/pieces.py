@@ -15,8 +15,8 @@ Defined results: null counts as empty, which is the end id alone; decoding gives
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import public_tokenizers
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomcrawl.llm.common import Recent, kept, map_batches, table, texts_of
 
-BLANK, END, CACHE = "▁", 2, 250_000
+#: CACHE: distinct chunks that a worker remembers, at most twice as many, some 400 bytes each.
+BLANK, END, CACHE = "▁", 2, 900_000
 _BEFORE_BLANK = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
 
@@ -45,41 +46,33 @@ class Agenda:
         self.lone = not any(BLANK in p.lstrip(BLANK) for p in self.piece) and not any("\n" in p for p in self.piece)
         #: Stops that no piece has behind a letter or digit: a merge never reaches over the place between.
         self.stop = {c: self.chunk(c) for c in ",." if not any(c in p[1:] and any(a.isalnum() and b == c for a, b in zip(p, p[1:], strict=False)) for p in self.piece)}
-        self.whole = Recent(CACHE, self.chunk)
+        self.whole = Recent(CACHE, lambda c: self._told(self.chunk(c)))
         self.after_blank = Recent(CACHE, self._part)
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a string in which blanks are already signs."""
-        piece = self.piece
-        if (known := piece.get(text)) is not None and len(text) == 1:
-            return (known[1],)
-        symbols: list[str] = list(text)
-        n = len(symbols)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            if (p := piece.get(text[i : i + 2])) is not None:
-                agenda.append((p[0], i, i + 1, 2))
-        heapq.heapify(agenda)
-        pop, push = heapq.heappop, heapq.heappush
+        get, n = self.piece.get, len(text)
+        symbols, left, right = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [(p[0], i, i + 1, 2) for i in range(n - 1) if (p := get(text[i : i + 2])) is not None]
+        heapify(agenda)
         while agenda:
-            _, i, j, size = pop(agenda)
+            _, i, j, size = heappop(agenda)
             a, b = symbols[i], symbols[j]
-            if not a or not b or len(a) + len(b) != size or right[i] != j:
+            if len(a) + len(b) != size or right[i] != j or not a or not b:
                 continue
-            a = symbols[i] = a + b
-            symbols[j] = ""
+            a += b
+            symbols[i], symbols[j] = a, ""
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if (p := piece.get(a + symbols[k])) is not None:
-                    push(agenda, (p[0], i, k, len(a) + len(symbols[k])))
-            if (h := left[i]) >= 0 and (p := piece.get(symbols[h] + a)) is not None:
-                push(agenda, (p[0], h, i, len(symbols[h]) + len(a)))
+                if (p := get(a + (b := symbols[k]))) is not None:
+                    heappush(agenda, (p[0], i, k, size + len(b)))
+            if (h := left[i]) >= 0 and (p := get((b := symbols[h]) + a)) is not None:
+                heappush(agenda, (p[0], h, i, size + len(b)))
         out: list[int] = []
         for s in symbols:
             if s:
-                if (p := piece.get(s)) is not None:
+                if (p := get(s)) is not None:
                     out.append(p[1])
                 elif self.byte:
                     out += [self.byte[c] for c in s.encode("utf-8", "surrogatepass")]
@@ -87,22 +80,33 @@ class Agenda:
                     out.append(self.unknown)
         return tuple(out)
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        """Ids of what stands between two blanks: with the sign of its blank, but for line feeds, which got one here."""
+    @staticmethod
+    def _told(ids: tuple[int, ...]) -> tuple[tuple[int, ...], str]:
+        """Ids, and each in decimal with a blank behind it."""
+        return ids, "".join([f"{i} " for i in ids])
+
+    def _part(self, part: str) -> tuple[tuple[int, ...], str]:
+        """Of what stands between two blanks: with the sign of its blank, but for line feeds, which got one here."""
         if len(part) > 1 and part[-1] in self.stop and part[-2].isalnum():
-            return self.after_blank[part[:-1]] + self.stop[part[-1]]
-        return self.chunk(part if part[:1] == "\n" else BLANK + part)
+            return self._told(self.after_blank[part[:-1]][0] + self.stop[part[-1]])
+        return self._told(self.chunk(part if part[:1] == "\n" else BLANK + part))
 
     def __call__(self, text: str) -> list[int]:
+        return self.told(text)[0]
+
+    def told(self, text: str) -> tuple[list[int], str]:
+        """A text's ids, and the same in decimal."""
         if not text:
-            return []
+            return [], ""
         if not self.lone:
-            return list(self.chunk(BLANK + text.replace(" ", BLANK)))
+            ids, decimal = self._told(self.chunk(BLANK + text.replace(" ", BLANK)))
+            return list(ids), decimal
         if text[0] != " " and "  " not in text and " \n" not in text and BLANK not in text:
             cache, parts = self.after_blank, text.replace("\n", " \n").split(" ")
         else:
             cache, parts = self.whole, _BEFORE_BLANK.split(BLANK + text.replace(" ", BLANK))
-        return list(chain.from_iterable([cache[p] for p in parts]))
+        found = [cache[p] for p in parts]
+        return list(chain.from_iterable([f[0] for f in found])), "".join([f[1] for f in found])
 
 
 def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
@@ -117,11 +121,13 @@ def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             columns: list[list] = [[] for _ in names[1:]]
             for t in texts_of(b.column(1)):
-                ids, theirs = agenda(t), sp.encode(t, num_threads=1) if t else []
-                same = ids == theirs
-                ids = [*theirs, END]
+                ids, decimal = agenda.told(t)
+                theirs = sp.encode(t, num_threads=1) if t else []
+                if not (same := ids == theirs):
+                    ids, decimal = theirs, "".join([f"{i} " for i in theirs])
+                ids.append(END)
                 decoded = sp.decode(ids)
-                row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), same, ids, decoded)
+                row = (len(ids), hashlib.sha256(f"{decimal}{END}".encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), same, ids, decoded)
                 for c, v in zip(columns, row, strict=False):
                     c.append(v)
             return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=False))], names=names)
