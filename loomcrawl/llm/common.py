@@ -88,8 +88,12 @@ _KEPT: dict[str, tuple[object, object]] = {}
 
 
 def kept(kind: str, key, make: Callable[[], object]):
-    """What make() returns, once in each Python worker and key: Spark gives a worker many tasks. One key of a kind is kept."""
+    """What make() returns, once in each Python worker and key: Spark gives a worker many tasks.
+
+    Only the last kind is kept, so operators that follow each other don't add up their memory.
+    """
     if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.clear()
         _KEPT[kind] = (key, make())
     return _KEPT[kind][1]
 
