@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomcrawl.llm.common import Recent, kept, map_batches, table, texts_of
 
-#: CACHE: distinct chunks that a worker remembers, at most twice as many, some 400 bytes each.
+#: CACHE: distinct chunks that a worker remembers, at most twice as many, some 200 bytes each.
 BLANK, END, CACHE = "▁", 2, 900_000
 _BEFORE_BLANK = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
@@ -42,11 +42,12 @@ class Agenda:
         kinds = [(sp.id_to_piece(i), i) for i in range(sp.get_piece_size())]
         self.piece = {p: (-sp.get_score(i), i) for p, i in kinds if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.byte = {int(p[3:5], 16): i for p, i in kinds if sp.is_byte(i)}
-        self.unknown = sp.unk_id()
+        self.unknown, self.code = sp.unk_id(), "H" if len(kinds) <= 1 << 16 else "I"
+        self.decimal = [str(i) for i in range(len(kinds))]
         self.lone = not any(BLANK in p.lstrip(BLANK) for p in self.piece) and not any("\n" in p for p in self.piece)
         #: Stops that no piece has behind a letter or digit: a merge never reaches over the place between.
         self.stop = {c: self.chunk(c) for c in ",." if not any(c in p[1:] and any(a.isalnum() and b == c for a, b in zip(p, p[1:], strict=False)) for p in self.piece)}
-        self.whole = Recent(CACHE, lambda c: self._told(self.chunk(c)))
+        self.whole = Recent(CACHE, lambda c: self._packed(self.chunk(c)))
         self.after_blank = Recent(CACHE, self._part)
 
     def chunk(self, text: str) -> tuple[int, ...]:
@@ -80,33 +81,29 @@ class Agenda:
                     out.append(self.unknown)
         return tuple(out)
 
-    @staticmethod
-    def _told(ids: tuple[int, ...]) -> tuple[tuple[int, ...], str]:
-        """Ids, and each in decimal with a blank behind it."""
-        return ids, "".join([f"{i} " for i in ids])
+    def _packed(self, ids: tuple[int, ...] | list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _part(self, part: str) -> tuple[tuple[int, ...], str]:
+    def _part(self, part: str) -> bytes:
         """Of what stands between two blanks: with the sign of its blank, but for line feeds, which got one here."""
         if len(part) > 1 and part[-1] in self.stop and part[-2].isalnum():
-            return self._told(self.after_blank[part[:-1]][0] + self.stop[part[-1]])
-        return self._told(self.chunk(part if part[:1] == "\n" else BLANK + part))
+            return self.after_blank[part[:-1]] + self._packed(self.stop[part[-1]])
+        return self._packed(self.chunk(part if part[:1] == "\n" else BLANK + part))
 
     def __call__(self, text: str) -> list[int]:
-        return self.told(text)[0]
+        return array(self.code, self.packed(text)).tolist()
 
-    def told(self, text: str) -> tuple[list[int], str]:
-        """A text's ids, and the same in decimal."""
+    def packed(self, text: str) -> bytes:
+        """A text's ids as 16-bit numbers, or 32-bit ones in a vocabulary that needs them."""
         if not text:
-            return [], ""
+            return b""
         if not self.lone:
-            ids, decimal = self._told(self.chunk(BLANK + text.replace(" ", BLANK)))
-            return list(ids), decimal
+            return self._packed(self.chunk(BLANK + text.replace(" ", BLANK)))
         if text[0] != " " and "  " not in text and " \n" not in text and BLANK not in text:
             cache, parts = self.after_blank, text.replace("\n", " \n").split(" ")
         else:
             cache, parts = self.whole, _BEFORE_BLANK.split(BLANK + text.replace(" ", BLANK))
-        found = [cache[p] for p in parts]
-        return list(chain.from_iterable([f[0] for f in found])), "".join([f[1] for f in found])
+        return b"".join([cache[p] for p in parts])
 
 
 def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
@@ -116,18 +113,16 @@ def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
 
     def make():
         agenda = kept("agenda", path, lambda: Agenda(path))
-        sp = agenda.sp
+        sp, decimal = agenda.sp, agenda.decimal
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             columns: list[list] = [[] for _ in names[1:]]
             for t in texts_of(b.column(1)):
-                ids, decimal = agenda.told(t)
-                theirs = sp.encode(t, num_threads=1) if t else []
-                if not (same := ids == theirs):
-                    ids, decimal = theirs, "".join([f"{i} " for i in theirs])
+                ids = sp.encode(t, num_threads=1) if t else []
+                same = agenda.packed(t) == array(agenda.code, ids).tobytes()
                 ids.append(END)
                 decoded = sp.decode(ids)
-                row = (len(ids), hashlib.sha256(f"{decimal}{END}".encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), same, ids, decoded)
+                row = (len(ids), hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), same, ids, decoded)
                 for c, v in zip(columns, row, strict=False):
                     c.append(v)
             return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=False))], names=names)
