@@ -110,3 +110,83 @@ def overloaded(assigned: DataFrame, limit: int = 100) -> DataFrame:
 
 def recommended_fetchers(n: Column) -> Column:
     return F.least(F.lit(16), F.greatest(F.lit(1), F.ceil(n / 100))).cast("int")
+
+
+def load_balanced(events: DataFrame, shards: int = 4) -> DataFrame:
+    """Each event to the shard with the least events of its minute, the lowest number first of equals.
+
+    Loads begin at nothing each minute, so arrivals in turn fill the shards in turn: one window a minute, no fold.
+    """
+    place = F.row_number().over(Window.partitionBy(minute(F.col("ts"))).orderBy("ts", "id")) - 1
+    return events.withColumn("shard", (place % shards).cast("int"))
+
+
+def sticky(events: DataFrame, shards: int = 4, ttl: int = 3600) -> DataFrame:
+    """A domain keeps one shard within each tumbling window of ttl seconds (its lease).
+
+    Leases that begin in one minute are dealt to the shards in turn. They are a map-side combined aggregate, so a
+    domain with many events is one small row before anything is ordered.
+    """
+    lease = events.groupBy("domain", bucket(F.col("ts"), ttl).alias("lease")).agg(F.min(F.struct("ts", "id")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(minute(F.col("first.ts"))).orderBy("first", "domain")) - 1
+    dealt = lease.select("domain", "lease", (place % shards).cast("int").alias("shard"))
+    return events.drop("shard").withColumn("lease", bucket(F.col("ts"), ttl)).join(dealt, ["domain", "lease"]).drop("lease")
+
+
+def last_shards(assigned: DataFrame) -> DataFrame:
+    """domain, shard: where each domain was sent last."""
+    return assigned.groupBy("domain").agg(F.max_by("shard", F.struct("ts", "id")).alias("shard"))
+
+
+def rebalance(assigned: DataFrame, each: int = 2) -> DataFrame:
+    """domain, from_shard, to_shard: `each` domains at most of every shard above 1.5 times the mean load go to shards
+    below half of it, each of which takes one; nothing while the greatest load is under twice the least.
+
+    Domains move in their own order. Both numbered lists have rows for shards only, whatever the number of events.
+    """
+    loads = assigned.groupBy("shard").agg(F.count("*").alias("n"))
+    s = loads.agg(F.max("n").alias("most"), F.min("n").alias("least"), F.avg("n").alias("mean")).where("most >= 2 * greatest(least, 1)")
+    judged = loads.crossJoin(F.broadcast(s))  # one row
+    of_shard = Window.partitionBy("shard").orderBy("domain")
+    over = last_shards(assigned).join(F.broadcast(judged.where("n > 1.5 * mean").select("shard")), "shard").withColumn("k", F.row_number().over(of_shard)).where(F.col("k") <= each)
+    moves = over.select("domain", F.col("shard").alias("from_shard"), F.row_number().over(Window.orderBy("shard", "domain")).alias("slot"))
+    room = judged.where("n < 0.5 * mean").select(F.col("shard").alias("to_shard"), F.row_number().over(Window.orderBy("shard")).alias("slot"))
+    return moves.join(room, "slot").drop("slot")
+
+
+def relieved(assigned: DataFrame, limit: int = 100, shards: int = 4, wait: float = 30.0) -> DataFrame:
+    """Assignments beyond `limit` of their shard and minute with to_shard, the least loaded shard of that minute that
+    is under the limit (lowest number of equals); without one they wait. Loads are those before anything moves."""
+    over = overloaded(assigned, limit).withColumn("minute", minute(F.col("ts")))
+    loads = assigned.groupBy(minute(F.col("ts")).alias("minute")).agg(*[F.count_if(F.col("shard") == k).alias(f"n{k}") for k in range(shards)])
+    free = F.array_min(F.filter(F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(k).alias("shard")) for k in range(shards)]), lambda x: x["n"] < limit))
+    return over.join(loads.select("minute", free["shard"].alias("to_shard")), "minute").drop("minute").withColumn("wait", F.when(F.col("to_shard").isNull(), wait).otherwise(0.0))
+
+
+def over_concurrency(events: DataFrame, limit: int = 2, ttl: int | None = 300) -> DataFrame:
+    """Events (with `seconds` of work) that begin while `limit` or more of their domain are running.
+
+    A crawl runs until ts + seconds, ttl seconds at most; one that ends as another begins has ended.
+    """
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    work = F.round(F.coalesce(F.col("seconds"), F.lit(0.0)) * 1e6).cast("long")
+    d = events.select("domain", "id", start.alias("at"), (F.least(work, F.lit(ttl * 1_000_000)) if ttl else work).alias("work"))
+    steps = d.select("domain", "id", "at", F.lit(1).alias("step")).unionByName(d.select("domain", "id", (F.col("at") + F.col("work")).alias("at"), F.lit(-1).alias("step")))
+    w = Window.partitionBy("domain").orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn("running", F.coalesce(F.sum("step").over(w), F.lit(0))).where((F.col("step") == 1) & (F.col("running") >= limit)).select("domain", "id", "running")
+
+
+def ready(queue: DataFrame, now: Column, most: int = 100, attempts: int = 5, seconds: int = 30) -> DataFrame:
+    """Delayed items (id, ready_at, scheduled_at, attempts) that are due: earlier buckets first, newest first inside one.
+
+    Items tried more than `attempts` times are given up; however old, none is lost.
+    """
+    due = queue.where((F.col("ready_at") <= now) & (F.col("attempts") <= attempts))
+    return due.withColumn("bucket", bucket(F.col("ready_at"), seconds)).orderBy("bucket", F.col("scheduled_at").desc(), "id").limit(most)
+
+
+def queue_counts(queue: DataFrame, now: Column, seconds: int = 30) -> DataFrame:
+    """Items and non-empty buckets among the ten buckets before now's and the ten from it on."""
+    here = F.floor(F.unix_timestamp(now.cast("timestamp")) / seconds)
+    near = queue.select(bucket(F.col("ready_at"), seconds).alias("bucket")).where(F.col("bucket").between(here - 10, here + 9))
+    return near.agg(F.count("*").alias("items"), F.countDistinct("bucket").alias("buckets"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcrawl.functions import html, text, urls
+from loomcrawl.functions import extract, html, text, urls
 from loomcrawl.functions.fixed import BLOG, DOCUMENTATION, IGNORED_EXTENSIONS, LANGUAGE_WORDS, LINK_EXTENSIONS, LINK_HOSTS, NEWS, PRODUCT, STOP_WORDS, TRACKING_KEYS
 from loomcrawl.operators import crawl, frontier, index
+from loomcrawl.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -394,3 +395,144 @@ def fuzzy_url_dedup(spark, sf):
 def search_fuzzy(spark, sf):
     """As search_bm25, with one edit allowed in terms of three to five letters and two in longer ones."""
     return index.search(_indexed(spark, sf), index.SearchRequest("that from", fuzzy=True, size=50)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_E} SELECT id, CAST((row_number() OVER (PARTITION BY minute ORDER BY ts, id) - 1) % 4 AS INT) AS shard FROM e")
+def load_balanced_shard(spark, sf):
+    return crawl.load_balanced(_events(spark, sf)).select("id", "shard")
+
+
+_STICKY = f"""{_E}, ls AS (SELECT domain, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS lease, min(ts) AS first_ts, arg_min(id, (ts, id)) AS first_id FROM e GROUP BY 1, 2),
+dl AS (SELECT domain, lease, CAST((row_number() OVER (PARTITION BY CAST(floor(epoch(first_ts) / 60) AS BIGINT) ORDER BY first_ts, first_id, domain) - 1) % 4 AS INT) AS shard FROM ls)"""
+
+
+@query(f"WITH {_STICKY} SELECT e.id, dl.shard FROM e JOIN dl ON dl.domain = e.domain AND dl.lease = CAST(floor(epoch(e.ts) / 3600) AS BIGINT)")
+def sticky_shard(spark, sf):
+    return crawl.sticky(_events(spark, sf)).select("id", "shard")
+
+
+def _uneven(spark, sf):
+    """Events on shards of 60, 20, 10 and 10 per cent."""
+    d = F.col("domain").cast("long") % 10
+    return _events(spark, sf).withColumn("shard", F.when(d < 6, 0).when(d < 8, 1).when(d < 9, 2).otherwise(3))
+
+
+_UNEVEN = f"{_E}, un AS (SELECT * REPLACE (CASE WHEN CAST(domain AS BIGINT) % 10 < 6 THEN 0 WHEN CAST(domain AS BIGINT) % 10 < 8 THEN 1 WHEN CAST(domain AS BIGINT) % 10 < 9 THEN 2 ELSE 3 END AS shard) FROM e)"
+
+
+@query(f"WITH {_UNEVEN} SELECT domain, arg_max(shard, (ts, id)) AS shard FROM un GROUP BY 1")
+def domain_assignments(spark, sf):
+    return crawl.last_shards(_uneven(spark, sf))
+
+
+@query(f"""WITH {_UNEVEN}, ld AS (SELECT shard, count(*) AS n FROM un GROUP BY 1), st AS (SELECT max(n) AS most, min(n) AS least, avg(n) AS mean FROM ld),
+lt AS (SELECT domain, arg_max(shard, (ts, id)) AS shard FROM un GROUP BY 1), ov AS (SELECT lt.*, row_number() OVER (PARTITION BY lt.shard ORDER BY domain) AS k FROM lt JOIN ld USING (shard), st WHERE n > 1.5 * mean AND most >= 2 * greatest(least, 1)),
+mv AS (SELECT domain, shard AS from_shard, row_number() OVER (ORDER BY shard, domain) AS slot FROM ov WHERE k <= 2), rm AS (SELECT shard AS to_shard, row_number() OVER (ORDER BY shard) AS slot FROM ld, st WHERE n < 0.5 * mean)
+SELECT domain, from_shard, to_shard FROM mv JOIN rm USING (slot)""")
+def shard_rebalance(spark, sf):
+    return crawl.rebalance(_uneven(spark, sf))
+
+
+@query(f"""WITH {_E}, p AS (SELECT id, minute, row_number() OVER (PARTITION BY shard, minute ORDER BY ts, id) AS place FROM e),
+ms AS (SELECT m.minute, k.shard, count(e.id) AS n FROM (SELECT DISTINCT minute FROM e) m CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS shard) k LEFT JOIN e ON e.minute = m.minute AND e.shard = k.shard GROUP BY ALL),
+fr AS (SELECT minute, arg_min(shard, (n, shard)) AS to_shard FROM ms WHERE n < 2 GROUP BY 1)
+SELECT id, to_shard, CASE WHEN to_shard IS NULL THEN 30.0 ELSE 0.0 END::DOUBLE AS wait FROM p LEFT JOIN fr USING (minute) WHERE place > 2""")
+def shard_relief(spark, sf):
+    return crawl.relieved(_events(spark, sf), 2).select("id", "to_shard", "wait")
+
+
+@query(f"""WITH {_E}, d AS (SELECT domain, id, epoch_us(ts) AS moment, CAST(round(seconds * 3600 * 1e6) AS BIGINT) AS work FROM e),
+sp AS (SELECT domain, id, moment, 1 AS step FROM d UNION ALL SELECT domain, id, moment + work, -1 FROM d),
+rn AS (SELECT *, CAST(coalesce(sum(step) OVER (PARTITION BY domain ORDER BY moment, step, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS running FROM sp) SELECT domain, id, running FROM rn WHERE step = 1 AND running >= 2""")
+def concurrency_violations(spark, sf):
+    """Seconds stand for hours of work here, so that crawls of a domain overlap."""
+    e = _events(spark, sf).withColumn("seconds", F.col("seconds") * 3600)
+    return crawl.over_concurrency(e, 2, None).withColumn("running", F.col("running").cast("long"))
+
+
+def _queue(spark, sf):
+    """Events as delayed items: due a minute later, tried user_id % 7 times."""
+    e = _events(spark, sf)
+    return e.select("id", "ts", F.col("ts").alias("scheduled_at"), (F.col("ts") + F.expr("INTERVAL 60 SECONDS")).alias("ready_at"), (F.col("domain").cast("long") % 7).cast("int").alias("attempts"))
+
+
+_QUEUE = "q AS (SELECT event_id AS id, ts AS scheduled_at, ts + INTERVAL 60 SECONDS AS ready_at, CAST(user_id % 7 AS INT) AS attempts FROM events)"
+
+
+@query(f"WITH {_QUEUE} SELECT id, attempts, CAST(floor(epoch(ready_at) / 30) AS BIGINT) AS bucket FROM q WHERE ready_at <= TIMESTAMP '2024-01-15 00:00:00' AND attempts <= 5 ORDER BY bucket, scheduled_at DESC, id LIMIT 50")
+def delay_queue_ready(spark, sf):
+    return crawl.ready(_queue(spark, sf), F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"), 50).select("id", "attempts", "bucket")
+
+
+@query(f"WITH {_QUEUE}, b AS (SELECT CAST(floor(epoch(ready_at) / 30) AS BIGINT) AS bucket FROM q) SELECT count(*) AS items, count(DISTINCT bucket) AS buckets FROM b WHERE bucket BETWEEN CAST(floor(epoch(TIMESTAMP '2024-01-15 00:00:00') / 30) AS BIGINT) - 10 AND CAST(floor(epoch(TIMESTAMP '2024-01-15 00:00:00') / 30) AS BIGINT) + 9")
+def delay_queue_counts(spark, sf):
+    return crawl.queue_counts(_queue(spark, sf), F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
+
+
+_RAW = "regexp_replace(coalesce(html, ''), '[\\x01\\x02]', ' ', 'g')"
+for _tag in extract.HIDDEN:
+    _RAW = f"regexp_replace({_RAW}, '(?is)<{_tag}[ >].*?</{_tag}>', ' ', 'g')"
+_RAW = f"regexp_replace({_RAW}, '(?s)<!--.*?-->', ' ', 'g')"
+_RAW = f"regexp_replace(regexp_replace({_RAW}, '(?i)<a[ \\t\\n\\r][^>]*>', chr(1), 'g'), '(?i)</a>', chr(2), 'g')"
+_BARE = "regexp_replace(x, '<[^>]*>', '', 'g')"
+for _entity, _char in extract.ENTITIES:
+    _BARE = f"replace({_BARE}, '{_entity}', '{_char}')"
+_BLOCKS = f"""sp AS (SELECT page_id, list_transform(regexp_split_to_array({_RAW}, '{extract.CUT}'), lambda x: {_BARE}) AS l FROM pages),
+bl AS (SELECT page_id, list_filter(list_transform(l, lambda s: {{'text': trim(regexp_replace(regexp_replace(s, '[\x01\x02]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), 'words': len({_WS.format(t="regexp_replace(s, '[\x01\x02]', '', 'g')")}), 'linked': len({_WS.format(t="replace(array_to_string(regexp_extract_all(s, '\x01([^\x02]*)', 1), ' '), chr(1), '')")})}}), lambda b: b.words > 0) AS l FROM sp)"""
+_AT = "coalesce({0}.words >= 10 AND {0}.linked * 2 <= {0}.words, false)"
+
+
+def _pick(keep: str) -> str:
+    return f"WITH {_BLOCKS} SELECT page_id, array_to_string(list_transform(list_filter(l, lambda b, i: {keep}), lambda b: b.text), chr(10)) AS text FROM bl"
+
+
+def _blocks(spark, sf):
+    return _pages(spark, sf).select("page_id", extract.blocks(F.col("html")).alias("b"))
+
+
+@query(_pick(f"{_AT.format('b')} OR (b.words >= 3 AND b.linked * 2 <= b.words AND ((i > 1 AND {_AT.format('l[i - 1]')}) OR {_AT.format('l[i + 1]')}))"))
+def page_dense_text(spark, sf):
+    return _blocks(spark, sf).select("page_id", extract.dense_text(F.col("b")).alias("text"))
+
+
+@query(_pick("b.linked * 3 <= b.words AND CASE WHEN i = 1 OR l[i - 1].linked * 9 <= l[i - 1].words * 5 THEN b.words > 16 OR coalesce(l[i + 1].words, 0) > 15 OR (i > 1 AND l[i - 1].words > 4) ELSE b.words > 40 OR coalesce(l[i + 1].words, 0) > 17 END"))
+def page_article_text(spark, sf):
+    return _blocks(spark, sf).select("page_id", extract.article_text(F.col("b")).alias("text"))
+
+
+@query()
+def page_stopword_text(spark, sf):
+    """Blocks kept by stop words and settled neighbours (no SQL: a pass over the blocks in order)."""
+    return _blocks(spark, sf).select("page_id", extract.stopword_text(F.col("b")).alias("text"))
+
+
+@query()
+def page_best_text(spark, sf):
+    """The four methods' texts, the chosen one, its characters and words."""
+    h = F.col("html")
+    d = _pages(spark, sf).select("page_id", extract.blocks(h).alias("b"), html.plain_text(h).alias("plain"))
+    d = d.select("page_id", extract.dense_text(F.col("b")).alias("dense"), extract.stopword_text(F.col("b")).alias("stopword"), extract.article_text(F.col("b")).alias("article"), "plain")
+    best = html.best_content(*map(F.col, ("dense", "stopword", "article", "plain")))
+    return d.withColumn("content", best).select("page_id", "content", F.length("content").alias("content_length"), F.size(text.words(F.col("content"))).alias("word_count"), F.length("dense").alias("n_dense"), F.length("stopword").alias("n_stopword"), F.length("article").alias("n_article"), F.length("plain").alias("n_plain"))
+
+
+def _stream(spark, sf, name):
+    """A table as a file stream; the pattern fits the table alone, whether it is a file or a folder."""
+    return spark.readStream.schema(_table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
+
+
+@query(SQL["adaptive_delay"])
+def stream_domain_stats(spark, sf):
+    """The fold of adaptive_delay kept in streaming state: each domain's last row."""
+    e = _stream(spark, sf, "events")
+    e = e.select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), (F.col("value") / 50).alias("seconds"))
+    rows = jobs.drained(jobs.domain_stats(e), "domain-stats")
+    last = rows.groupBy("domain").agg(F.max_by(F.struct("avg_response", "delay"), "requests").alias("s"), F.max("requests").alias("requests"))
+    return last.select("domain", "requests", F.round("s.avg_response", 6).alias("avg_response"), F.round("s.delay", 6).alias("delay"))
+
+
+@query(f"WITH {_U} SELECT DISTINCT url_hash FROM a WHERE nu IS NOT NULL")
+def stream_dedup(spark, sf):
+    """Each URL hash of the page stream once."""
+    n = _stream(spark, sf, "pages").select(urls.normalize(F.col("url")).alias("n")).where("n IS NOT NULL")
+    return jobs.drained(n.select(urls.url_hash(F.col("n")).alias("url_hash")).dropDuplicates(["url_hash"]), "dedup")

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomcrawl.functions import html, text, urls
+from loomcrawl.functions import extract, html, text, urls
 from loomcrawl.operators import crawl, frontier, index
 from loomcrawl.sources import fetch
 from loomcrawl.streaming import jobs
@@ -109,3 +109,71 @@ def test_streams(spark, tmp_path):
     q = jobs.politeness(stream, 10.0, None).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).option("path", str(tmp_path / "gate")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.id, r.ok) for r in spark.read.parquet(str(tmp_path / "gate")).collect()) == [(1, True), (2, False), (3, True)]
+
+
+PAGE = (
+    "<html><head><title>T</title></head><body><nav><a href='/a'>Home</a> <a href='/b'>About us</a></nav><script>var x = 1;</script>"
+    + "<h1>A Heading</h1><p>" + "This is the text that was in the page and it is for all of us to be with. " * 4 + "</p><p>And then.</p><p>"
+    + "There was a time that it is on the way to be from this and for that one here. " * 4 + "</p><ul><li><a href='/c'>More of this</a></li></ul><p>Copyright</p></body></html>"
+)
+
+
+def test_extraction(spark):
+    d = spark.createDataFrame([(PAGE,), (None,), ("",), ("no markup",)], "h string").select(extract.blocks(F.col("h")).alias("b"))
+    for rule in (extract.dense_text, extract.article_text, extract.stopword_text):
+        full, null, empty, _ = [r.t for r in d.select(rule(F.col("b")).alias("t")).collect()]
+        assert null == empty == ""
+        assert "This is the text" in full and "There was a time" in full
+        assert "Home" not in full and "More of this" not in full and "var x" not in full
+
+
+def test_stopword_kinds():
+    stops, good, short, bad = frozenset({"the"}), "the cat " * 40, "so", "cat dog " * 40
+    n = lambda ts: [len(t.split()) for t in ts]
+    for texts, want in (([good, short, good], [True, True, True]), ([bad, short, good], [False, False, True]), ([short], [False]), ([], [])):
+        assert extract.kinds(texts, n(texts), [0] * len(texts), stops) == want
+    near = "the cat " * 15
+    assert extract.kinds([near, bad], n([near, bad]), [0, 0], stops) == [False, False]
+    assert extract.kinds([bad, near, good], n([bad, near, good]), [0, 0, 0], stops) == [False, True, True]
+    assert extract.kinds([good], n([good]), [60], stops) == [False]
+
+
+def events(spark, rows):
+    t = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(d, t + datetime.timedelta(seconds=s), i, w) for i, (d, s, w) in enumerate(rows)], "domain string, ts timestamp, id long, seconds double")
+
+
+def test_concurrency(spark):
+    e = events(spark, [("a", 0, 10.0), ("a", 1, 10.0), ("a", 2, 1.0), ("a", 10, 1.0), ("b", 0, None), ("a", 20, 900.0), ("a", 30, 900.0), ("a", 321, 1.0)])
+    assert [(r.id, r.running) for r in crawl.over_concurrency(e).collect()] == [(2, 2)]
+
+
+def test_sticky_and_balanced(spark):
+    e = events(spark, [("a", 0, 1.0), ("b", 1, 1.0), ("a", 2, 1.0), ("a", 3599, 1.0), ("b", 3600, 1.0), ("a", 3601, 1.0)])
+    assert [r.shard for r in crawl.load_balanced(e).orderBy("id").collect()] == [0, 1, 2, 0, 0, 1]
+    assert [r.shard for r in crawl.sticky(e).orderBy("id").collect()] == [0, 1, 0, 0, 0, 1]
+    assert crawl.rebalance(crawl.load_balanced(events(spark, []))).collect() == []
+
+
+def run(df, tmp_path, name):
+    df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}")).option("path", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(str(tmp_path / name)).collect()
+
+
+def test_politeness_with_ttl_ends(spark, tmp_path):
+    events(spark, [("a", 0, 1.0), ("a", 5, 1.0), ("a", 7200, 1.0), ("b", 0, 1.0)]).select("domain", "ts", "id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("domain string, ts timestamp, id long").parquet(str(tmp_path / "in"))
+    assert sorted((r.id, r.ok) for r in run(jobs.politeness(stream, 10.0), tmp_path, "gate")) == [(0, True), (1, False), (2, True), (3, True)]
+
+
+def test_delay_queue_timers(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda s: t + datetime.timedelta(seconds=s)
+    rows = [(1, at(60), 1, at(0)), (2, at(61), 6, at(0)), (3, at(9000), 1, at(600)), (4, at(90), 2, at(30))]
+    spark.createDataFrame(rows, "id long, ready_at timestamp, attempts int, ts timestamp").write.parquet(str(tmp_path / "q"))
+    stream = spark.readStream.schema("id long, ready_at timestamp, attempts int, ts timestamp").parquet(str(tmp_path / "q"))
+    try:
+        assert sorted(r.id for r in run(jobs.delay_queue(stream), tmp_path, "due")) == [1, 4]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
