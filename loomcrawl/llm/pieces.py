@@ -1,8 +1,9 @@
 """SentencePiece encoding of merge-type (BPE) vocabularies by an agenda of adjacent symbol pairs.
 
 Symbols are the characters of the text, blanks written as U+2581 behind a leading one. All adjacent pairs that form a
-piece wait in an agenda ordered by the piece's score, then place; the best is merged, its neighbours enter, pairs that
-a merge has outdated are skipped. Symbols that are no piece become byte pieces, or the unknown piece.
+piece wait in an agenda ordered by the piece's score, then place; the best is merged, and its neighbours enter. Of a
+short chunk the agenda is a plain list of the pairs' scores, of a longer one a heap, in which pairs that a merge has
+outdated are skipped. Symbols that are no piece become byte pieces, or the unknown piece.
 
 No piece of such a vocabulary has the blank's sign behind another character (checked when a model is read), so a merge
 never crosses the place before a blank, and each distinct chunk between such places passes the agenda once per task.
@@ -27,6 +28,8 @@ from loomcrawl.llm.common import Recent, kept, map_batches, table, texts_of
 
 #: CACHE: distinct chunks that a worker remembers, at most twice as many, some 200 bytes each.
 BLANK, END, CACHE = "▁", 2, 900_000
+#: Symbols up to which the best pair is sought in a list: at that length it costs less than a heap's upkeep.
+LISTED, NONE = 32, float("inf")
 _BEFORE_BLANK = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
 
@@ -41,6 +44,7 @@ class Agenda:
         self.sp = sp = processor(path)
         kinds = [(sp.id_to_piece(i), i) for i in range(sp.get_piece_size())]
         self.piece = {p: (-sp.get_score(i), i) for p, i in kinds if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+        self.cost = {p: cost for p, (cost, _) in self.piece.items()}
         self.byte = {int(p[3:5], 16): i for p, i in kinds if sp.is_byte(i)}
         self.unknown, self.code = sp.unk_id(), "H" if len(kinds) <= 1 << 16 else "I"
         self.decimal = [str(i) for i in range(len(kinds))]
@@ -52,9 +56,24 @@ class Agenda:
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a string in which blanks are already signs."""
-        get, n = self.piece.get, len(text)
+        symbols = self._merged(text) if len(text) > LISTED else self._merged_short(text)
+        get = self.piece.get
+        out: list[int] = []
+        for s in symbols:
+            if s:
+                if (p := get(s)) is not None:
+                    out.append(p[1])
+                elif self.byte:
+                    out += [self.byte[c] for c in s.encode("utf-8", "surrogatepass")]
+                else:
+                    out.append(self.unknown)
+        return tuple(out)
+
+    def _merged(self, text: str) -> list[str]:
+        """Symbols after all merges, with empty ones where a neighbour took them in."""
+        get, n = self.cost.get, len(text)
         symbols, left, right = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(p[0], i, i + 1, 2) for i in range(n - 1) if (p := get(text[i : i + 2])) is not None]
+        agenda = [(p, i, i + 1, 2) for i in range(n - 1) if (p := get(text[i : i + 2])) is not None]
         heapify(agenda)
         while agenda:
             _, i, j, size = heappop(agenda)
@@ -67,19 +86,23 @@ class Agenda:
             if k < n:
                 left[k] = i
                 if (p := get(a + (b := symbols[k]))) is not None:
-                    heappush(agenda, (p[0], i, k, size + len(b)))
+                    heappush(agenda, (p, i, k, size + len(b)))
             if (h := left[i]) >= 0 and (p := get((b := symbols[h]) + a)) is not None:
-                heappush(agenda, (p[0], h, i, size + len(b)))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                if (p := get(s)) is not None:
-                    out.append(p[1])
-                elif self.byte:
-                    out += [self.byte[c] for c in s.encode("utf-8", "surrogatepass")]
-                else:
-                    out.append(self.unknown)
-        return tuple(out)
+                heappush(agenda, (p, h, i, size + len(b)))
+        return symbols
+
+    def _merged_short(self, text: str) -> list[str]:
+        get, symbols = self.cost.get, list(text)
+        agenda = [get(text[i : i + 2], NONE) for i in range(len(text) - 1)]
+        while agenda and (best := min(agenda)) != NONE:
+            i = agenda.index(best)
+            symbols[i] = s = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + s, NONE)
+            if i < len(agenda):
+                agenda[i] = get(s + symbols[i + 1], NONE)
+        return symbols
 
     def _packed(self, ids: tuple[int, ...] | list[int]) -> bytes:
         return array(self.code, ids).tobytes()
