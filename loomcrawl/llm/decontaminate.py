@@ -3,9 +3,10 @@
 Canonical form: numbers, units behind a number, and names (capitalised words that don't begin a sentence) become typed
 placeholders, all else lower case. Every window of WINDOW canonical words of a text is hashed and joined with the hashed
 windows of the benchmark's items. A hit has its place in the text and in the item; hits on one diagonal (text place
-minus item place) are one alignment. Within an alignment each slot value of the item must stand for one value of the
-text throughout (slot consistency), so a re-parameterised question is caught and a chance meeting of templates isn't.
-A text holds an item if consistent alignments cover at least COVER of the item's windows.
+minus item place) are one alignment. Within an alignment each slot value of the item stands for one value of the text
+(slot consistency): the one that meets it at most places, on a tie the same value, else the first. Windows with another
+value in that slot don't count, unless they are word for word the item's; so a re-parameterised question is caught and
+a chance meeting of templates isn't. A text holds an item if what counts covers at least COVER of the item's windows.
 
 Slot words keep their value behind a mark of their type, so types are compared without a second pass over the text.
 
@@ -99,18 +100,38 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.withColumn("doc_pos", place).select("doc_id", "doc_pos", F.slice("w", F.col("doc_pos") + 1, F.col("size")).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once, however often a lambda in it asks."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _bound(slots: Column) -> Column:
+    """Of distinct slots (place, own, met) the pairs (own, met) that hold: of what meets a value of the item, that at most places."""
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(s["own"].alias("own"), s["met"].alias("met"))))
+
+    def ranked(p: Column) -> Column:
+        places = F.transform(F.filter(slots, lambda s: (s["own"] == p["own"]) & (s["met"] == p["met"])), lambda s: s["place"])
+        return F.struct(p["own"].alias("own"), (-F.size(places)).alias("few"), (p["own"] != p["met"]).alias("other"), F.array_min(places).alias("first"), p["met"].alias("met"))
+
+    # On a tie the value itself holds, else what stands first.
+    return F.when(F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["own"]))), pairs).otherwise(
+        _let(F.transform(pairs, ranked), lambda all_: F.transform(F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["own"] == x["own"]) & (y < x))), lambda x: F.struct(x["own"].alias("own"), x["met"].alias("met"))))
+    )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, n_windows, matched, coverage, same_values: the texts that hold an item, and how."""
     found = hits(docs, item_windows(benchmark)).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
     key = ["doc_id", "item_id", "diagonal"]
-    # A slot word of the item, of its type, and what stands in its place.
-    slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].rlike(_MARK) & p["doc_words"].isNotNull())
+    # A slot word of the item, of its type, its place, and what stands in its place.
+    words = F.transform(F.arrays_zip("item_words", F.coalesce("doc_words", F.array().cast("array<string>")).alias("doc_words")), lambda p, k: F.struct((F.col("item_pos") + k).alias("place"), p["item_words"].alias("own"), p["doc_words"].alias("met")))
+    slots = F.filter(words, lambda p: p["own"].rlike(_MARK) & p["met"].isNotNull())
     # One row an alignment: on a diagonal an item's window meets one place, so the lists are as long as an item at most.
-    aligned = found.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.collect_list("item_pos").alias("places"), F.flatten(F.collect_list(slots)).alias("slots"))
-    items_own = F.array_distinct(F.col("slots.item_words"))
-    consistent = aligned.where(F.size(F.array_distinct("slots")) == F.size(items_own))
-    same = F.forall("slots", lambda p: p["item_words"] == p["doc_words"])
-    per = consistent.select("doc_id", "item_id", "n_windows", same.alias("same"), F.explode("places").alias("item_pos")).groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_pos").cast("long").alias("matched"), F.min("same").alias("same_values"))
+    aligned = found.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("item_pos", slots.alias("slots"))).alias("windows"))
+    verbatim = lambda slots: F.forall(slots, lambda s: s["own"] == s["met"])
+    holds = lambda w, bound: verbatim(w["slots"]) | F.forall(w["slots"], lambda s: F.array_contains(bound, F.struct(s["own"].alias("own"), s["met"].alias("met"))))
+    left = _let(F.array_distinct(F.flatten("windows.slots")), lambda slots: _let(_bound(slots), lambda bound: F.filter("windows", lambda w: holds(w, bound))))
+    per = aligned.select("doc_id", "item_id", "n_windows", F.explode(left).alias("window")).groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("window.item_pos").cast("long").alias("matched"), F.min(verbatim(F.col("window.slots"))).alias("same_values"))
     return per.where(F.col("matched") >= F.lit(cover) * F.col("n_windows")).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "matched", F.round(F.col("matched") / F.col("n_windows"), 6).alias("coverage"), "same_values")
 
 

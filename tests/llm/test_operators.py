@@ -166,6 +166,16 @@ def test_decontaminate(spark, sf):
     assert [(r.doc_id, r.item_id, r.same_values) for r in got] == [(1, 4, False)]
 
 
+def test_decontaminate_inconsistent_slot(spark):
+    """One number that was changed costs the windows that hold it, not the alignment."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(49)]
+    passage = lambda a, b: " ".join([*words[:10], str(a), *words[10:40], str(b), *words[40:]])
+    items = spark.createDataFrame([(1, passage(300, 300))], "item_id long, text string")
+    texts = [(1, passage(300, 400)), (2, passage(400, 300)), (3, passage(3, 5)), (4, passage(7, 7)), (5, " ".join([*words[:10], "300", *words[10:30]]))]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.n_windows, r.matched, r.same_values) for r in got) == [(1, 47, 42, True), (2, 47, 42, True), (3, 47, 42, False), (4, 47, 47, False)]
+
+
 def test_codes(spark, sf):
     rng = np.random.default_rng(1)
     for top in (1, 200, 70_000, 2**31):
