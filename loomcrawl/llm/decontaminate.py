@@ -1,12 +1,16 @@
 """Benchmark decontamination by templates, in DataFrame operations only.
 
-Canonical form: numbers, units behind a number, and names (capitalised words that don't begin a sentence) become typed
-placeholders, all else lower case. Every window of WINDOW canonical words of a text is hashed and joined with the hashed
-windows of the benchmark's items. A hit has its place in the text and in the item; hits on one diagonal (text place
+Canonical form: numbers, units behind a number, and capitalised words become typed placeholders, all else lower case.
+Every window of WINDOW canonical words of a text is hashed, and where it has a capitalised word once more with those in
+lower case. An item's windows are hashed with every choice of its capitalised words as placeholders, the others in
+lower case. So a text's window meets an item's whatever case the item's words have in it, and a window that differs in
+nothing but case and white space always does. A hit has its place in the text and in the item; hits on one diagonal (text place
 minus item place) are one alignment. Within an alignment each slot value of the item stands for one value of the text
 (slot consistency): the one that meets it at most places, on a tie the same value, else the first. Windows with another
 value in that slot don't count, unless they are word for word the item's; so a re-parameterised question is caught and
-a chance meeting of templates isn't. A text holds an item if what counts covers at least COVER of the item's windows.
+a chance meeting of templates isn't. Capitalised words may differ where they are names: a word is one within a sentence
+or behind a title, and then at the item's sentence starts too. Where a word that only begins sentences meets another
+such word, the window doesn't count. A text holds an item if what counts covers at least COVER of the item's windows.
 
 Slot words keep their value behind a mark of their type, so types are compared without a second pass over the text.
 
@@ -25,13 +29,17 @@ from loomcrawl.llm.common import table
 WINDOW, COVER = 5, 0.75
 #: Benchmark windows are broadcast up to so many rows (each of some 100 bytes), else joined by shuffle.
 BROADCAST_ROWS = 200_000
-NUMBER, UNIT, NAME = "①", "②", "③"
+#: START marks a capitalised word that begins a sentence; PAST sorts behind all marks.
+NUMBER, UNIT, NAME, START, PAST = "①", "②", "③", "④", "⑤"
 UNITS = "mm|cm|km|m|kg|g|mg|lb|lbs|oz|ml|l|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|kilometers?|kilometres?|grams?|kilograms?|pounds?|dollars?|euros?|usd|eur|percent|mph|kmh|degrees?|feet|foot|inch|inches|liters?|litres?"
 
-_WORDS = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
+_WORDS = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}{UNIT}{NAME}{START}]+"
 
 
-_MARK = f"[{NUMBER}{UNIT}{NAME}]"
+_MARK = f"[{NUMBER}{UNIT}{NAME}{START}]"
+#: What may stand between a word and the next one of its sentence, and titles that end in a full stop.
+_BETWEEN = "[\\s\\p{Z}\\p{Pd}\\p{Ps}\\p{Pe}\\p{Pi}\\p{Pf}\"'/*_]{1,8}"
+_TITLES = "mr|mrs|ms|mx|dr|prof|st|sr|rev|hr|fr|sra|mme|mlle|capt|col|gen|lt|sgt|gov|sen|rep|hon"
 
 
 def marked(text: Column) -> Column:
@@ -45,16 +53,29 @@ def marked(text: Column) -> Column:
     number = F.regexp_replace(number, f"(?<![\\p{{L}}\\p{{N}}])([0-9]+)[ ]?((?i:{UNITS}))(?![\\p{{L}}\\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
     number = F.regexp_replace(number, f"(?<![\\p{{L}}\\p{{N}}{NUMBER}])(?=[0-9])", NUMBER)
     x = F.when(x.rlike("[0-9]"), number).otherwise(x)
-    return F.lower(F.regexp_replace(x, " (?<=[\\p{Ll},;] )(?=\\p{Lu}\\p{Ll})", f" {NAME}"))
+    x = F.regexp_replace(x, "(\\p{Lu}\\p{Ll})(?<![\\p{L}\\p{M}\\p{N}]..)", f"{START}$1")
+    within = f"{START}(?:(?<=[\\p{{L}}\\p{{M}}\\p{{N}},;]{_BETWEEN}.)|(?<=(?<![\\p{{L}}\\p{{M}}\\p{{Nd}}])(?i:{_TITLES})[.]\\s{{0,8}}.))"
+    return F.lower(F.regexp_replace(x, within, NAME))
 
 
-def canonical(marked_text: Column) -> Column:
-    """Slot words cut down to their marks."""
-    return F.when(marked_text.rlike(_MARK), F.regexp_replace(marked_text, f"({_MARK})[\\p{{L}}\\p{{M}}\\p{{N}}]+", "$1")).otherwise(marked_text)
+def _named(word: Column) -> Column:
+    return (word >= NAME) & (word < PAST)
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _bare(word: Column) -> Column:
+    """A marked name without its mark."""
+    return F.substr(word, F.lit(2))
+
+
+def _canonical(word: Column) -> Column:
+    """The hash of a marked word's canonical form."""
+    slot = F.when(word < UNIT, F.xxhash64(F.lit(NUMBER))).when(word < NAME, F.xxhash64(F.lit(UNIT))).otherwise(F.xxhash64(F.lit(NAME)))
+    return F.when((word >= NUMBER) & (word < PAST), slot).otherwise(F.xxhash64(word))
+
+
+def _uncased(word: Column) -> Column:
+    """The same, with names in lower case."""
+    return F.when(_named(word), F.xxhash64(_bare(word))).otherwise(_canonical(word))
 
 
 def _windows(h: Column, size: int = WINDOW) -> Column:
@@ -65,38 +86,51 @@ def _windows(h: Column, size: int = WINDOW) -> Column:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, size (words in a window), n_windows, item_pos, window (hash), item_words (the window's).
 
-    An item's first word counts as it stands and, where it begins with a capital, as a name too: in a text that goes
-    on around the item it stands within a sentence.
+    A window comes once for each choice of its capitalised words as names. One that begins a sentence and also stands
+    within one is marked as a name there, too.
     """
-    words = benchmark.select("item_id", F.filter(F.split(marked(F.col("text")), _WORDS), lambda w: w != "").alias("w"), F.col("text").rlike("^\\P{L}*\\p{Lu}\\p{Ll}").alias("capital")).where(F.size("w") > 0)
-    as_name = F.concat(F.array(F.concat(F.lit(NAME), F.col("w")[0])), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))))
-    both = words.select("item_id", F.explode(F.when(F.col("capital") & ~F.col("w")[0].rlike(_MARK), F.array(F.col("w"), as_name)).otherwise(F.array("w"))).alias("w"))
-    plain = F.transform("w", lambda w: F.when(w.rlike(_MARK), F.substring(w, 1, 1)).otherwise(w))
-    sized = both.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))).withColumn("h", _hashes(plain))
-    listed = F.lit(None).cast("array<bigint>")
-    for size in range(1, WINDOW + 1):
-        listed = F.when(F.col("size") == size, _windows(F.col("h"), size)).otherwise(listed)
-    flat = sized.withColumn("v", listed).select("item_id", "size", F.posexplode("v").alias("item_pos", "window"), "w", F.size("v").alias("n_windows"))
-    return flat.select("item_id", "size", "n_windows", "item_pos", "window", F.slice("w", F.col("item_pos") + 1, F.col("size")).alias("item_words")).dropDuplicates(["item_id", "item_pos", "window"])
+    words = benchmark.select("item_id", F.filter(F.split(marked(F.col("text")), _WORDS), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    known = words.withColumn("names", F.filter("w", lambda w: (w >= NAME) & (w < START)))
+    as_name = lambda w: F.concat(F.lit(NAME), _bare(w))
+    decided = known.select("item_id", F.transform("w", lambda w: F.when((w >= START) & (w < PAST) & F.array_contains(F.col("names"), as_name(w)), as_name(w)).otherwise(w)).alias("w"))
+    sized = decided.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))).withColumn("n_windows", F.size("w") - F.col("size") + 1)
+    placed = sized.select("item_id", "size", "n_windows", "w", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("item_pos"))
+    flat = placed.select("item_id", "size", "n_windows", "item_pos", F.slice("w", F.col("item_pos") + 1, F.col("size")).alias("item_words"))
+    # Bit k of a choice: word k is a name.
+    chosen = flat.withColumn("choice", F.explode(F.sequence(F.lit(0), F.lit((1 << WINDOW) - 1))))
+    bits = [F.col("choice").bitwiseAND(F.lit(1 << k)) != 0 for k in range(WINDOW)]
+    word = [F.get("item_words", F.lit(k)) for k in range(WINDOW)]
+    for k in range(WINDOW):
+        chosen = chosen.where(~bits[k] | F.coalesce(_named(word[k]), F.lit(False)))
+    hashes = [F.when(bits[k], _canonical(word[k])).otherwise(_uncased(word[k])) for k in range(WINDOW)]
+    window = F.xxhash64(*hashes)
+    for size in range(1, WINDOW):
+        window = F.when(F.col("size") == size, F.xxhash64(*hashes[:size])).otherwise(window)
+    return chosen.select("item_id", "size", "n_windows", "item_pos", window.alias("window"), "item_words").dropDuplicates(["item_id", "item_pos", "window"])
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Equal windows: doc_id, doc_pos, doc_words (null in texts without a slot), and the columns of items.
+    """Equal windows: doc_id, doc_pos, doc_words, and the columns of items.
 
-    One pass over the texts: windows of all sizes that items have stand one after the other in one array. Items are
-    broadcast if they are few, else both sides are shuffled by window.
+    One pass over the texts: windows of all sizes that items have stand one after the other in one array, and behind
+    them in the same order those with names in lower case (null where that changes nothing). Items are broadcast if
+    they are few, else both sides are shuffled by window.
     """
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sizes = [WINDOW, *sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())]
-    texts = docs.select("doc_id", marked(F.col("text")).alias("m"))
-    slotted = F.when(F.col("m").rlike(_MARK), F.split("m", _WORDS))
-    words = texts.select("doc_id", slotted.alias("w"), _hashes(F.split(canonical(F.col("m")), _WORDS)).alias("h"))
-    windows = words.select("doc_id", "w", F.size("h").alias("n"), F.posexplode(F.concat(*[_windows(F.col("h"), size) for size in sizes])).alias("at", "window"))
-    found = windows.join(F.broadcast(items) if few else items, "window")
-    place, before = F.col("at"), F.lit(0)
+    texts = docs.select("doc_id", F.split(marked(F.col("text")), _WORDS).alias("w"))
+    words = texts.select("doc_id", "w", F.transform("w", _canonical).alias("h"), F.transform("w", _uncased).alias("u"))
+    both = words.select("doc_id", "w", F.concat(*[_windows(F.col("h"), size) for size in sizes]).alias("a"), F.concat(*[_windows(F.col("u"), size) for size in sizes]).alias("b"))
+    # The array is a column of its own, so that the rows it becomes are joined in compiled code and don't copy w; outer,
+    # as Spark else asks for the array's size first and works it out twice.
+    listed = both.select("doc_id", "w", F.size("a").alias("total"), F.concat("a", F.zip_with("a", "b", lambda a, b: F.nullif(b, a))).alias("all"))
+    windows = listed.select("doc_id", "w", "total", F.posexplode_outer("all").alias("at", "window"))
+    found = windows.where(F.col("window").isNotNull()).join(F.broadcast(items) if few else items, "window")
+    n, at = F.size("w"), F.col("at") % F.col("total")
+    place, before = at, F.lit(0)
     for size in sizes:  # where the windows of an item's size begin
-        place = F.when(F.col("size") == size, F.col("at") - before).otherwise(place)
-        before = before + F.greatest(F.col("n") - size + 1, F.lit(0))
+        place = F.when(F.col("size") == size, at - before).otherwise(place)
+        before = before + F.greatest(n - size + 1, F.lit(0))
     return found.withColumn("doc_pos", place).select("doc_id", "doc_pos", F.slice("w", F.col("doc_pos") + 1, F.col("size")).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words")
 
 
@@ -123,11 +157,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     """doc_id, item_id, n_windows, matched, coverage, same_values: the texts that hold an item, and how."""
     found = hits(docs, item_windows(benchmark)).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
     key = ["doc_id", "item_id", "diagonal"]
-    # A slot word of the item, of its type, its place, and what stands in its place.
-    words = F.transform(F.arrays_zip("item_words", F.coalesce("doc_words", F.array().cast("array<string>")).alias("doc_words")), lambda p, k: F.struct((F.col("item_pos") + k).alias("place"), p["item_words"].alias("own"), p["doc_words"].alias("met")))
-    slots = F.filter(words, lambda p: p["own"].rlike(_MARK) & p["met"].isNotNull())
+    # A slot word of the item, its place, and what stands in its place; both with the mark of the type, names with NAME.
+    as_name = lambda w: F.concat(F.lit(NAME), F.when(_named(w), _bare(w)).otherwise(w))
+    begins = lambda w: (w >= START) & (w < PAST)
+    words = F.transform(F.arrays_zip("item_words", "doc_words"), lambda p, k: F.struct((F.col("item_pos") + k).alias("place"), p["item_words"].alias("own"), p["doc_words"].alias("met")))
+    marks = F.filter(words, lambda p: (p["own"] >= NUMBER) & (p["own"] < PAST))
+    name = lambda p: F.struct(p["place"].alias("place"), as_name(p["own"]).alias("own"), as_name(p["met"]).alias("met"))
+    slots = F.transform(marks, lambda p: F.when(_named(p["own"]), name(p)).otherwise(p))
+    # Words that only begin sentences aren't known to be names: two such words have to be the same. (No filter, as Spark
+    # would make it a condition of the join, which then isn't compiled.)
+    known = F.forall(words, lambda p: ~(begins(p["own"]) & begins(p["met"])) | (p["own"] == p["met"]))
     # One row an alignment: on a diagonal an item's window meets one place, so the lists are as long as an item at most.
-    aligned = found.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("item_pos", slots.alias("slots"))).alias("windows"))
+    aligned = found.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.collect_list(F.when(known, F.struct("item_pos", slots.alias("slots")))).alias("windows"))
     verbatim = lambda slots: F.forall(slots, lambda s: s["own"] == s["met"])
     holds = lambda w, bound: verbatim(w["slots"]) | F.forall(w["slots"], lambda s: F.array_contains(bound, F.struct(s["own"].alias("own"), s["met"].alias("met"))))
     left = _let(F.array_distinct(F.flatten("windows.slots")), lambda slots: _let(_bound(slots), lambda bound: F.filter("windows", lambda w: holds(w, bound))))

@@ -176,6 +176,26 @@ def test_decontaminate_inconsistent_slot(spark):
     assert sorted((r.doc_id, r.n_windows, r.matched, r.same_values) for r in got) == [(1, 47, 42, True), (2, 47, 42, True), (3, 47, 42, False), (4, 47, 47, False)]
 
 
+def test_decontaminate_names(spark):
+    """Names count at sentence starts, behind titles, quotes and any white space; case and wraps never cost a copy."""
+    tom = "Tom has 5 apples. Tom gives 2 apples to Mary. How many apples does Tom have left?"
+    long = "yesterday we met Anna near the old mill and then Paul came by with bread for the whole village"
+    smith = "There was a note from Dr. Smith on the desk, and it said that (Mary) would call \"Peter\" by noon."
+    items = spark.createDataFrame([(1, tom), (2, long), (3, smith)], "item_id long, text string")
+    texts = [
+        (1, "Bob has 7 apples. Bob gives 3 apples to Sue. How many apples does Bob have left?", 1),
+        (2, long.replace(" Anna", "\nAnna").replace(" Paul", "\n  Paul"), 2),
+        (3, long.lower(), 2),
+        (4, tom.upper(), 1),
+        (5, smith.replace("Smith", "Jones").replace("Mary", "Eva").replace("Peter", "Carl"), 3),
+        (6, "so it is: bob has 7 apples", None),
+        (7, "The dog has 7 apples. Bob gives 3 pears to Sue. What many apples does Bob have left?", None),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(d, i) for d, _, i in texts if i]
+    assert {r.doc_id for r in got if r.coverage == 1} == {1, 2, 3, 4, 5} and {r.doc_id for r in got if r.same_values} == {2, 3, 4}
+
+
 def test_codes(spark, sf):
     rng = np.random.default_rng(1)
     for top in (1, 200, 70_000, 2**31):
