@@ -1,15 +1,20 @@
-"""Main text of web pages: flat text blocks, classified by a decision tree from shallow features.
+"""Main text of web pages: flat text blocks, classified by a decision tree from word counts and link densities.
 
-A page is cut into blocks at block-level tags. A block has its word count and link density, those of the block before
-and after it, whether it is a heading, and where it stands: inside an article, or inside an element whose tag, class
-or id speaks of menus, adverts, comments and the like. A decision tree (Gini, grown to purity or LEAVES rows) is
-trained on the small labelled table that labelled_blocks() reads off PAGES and varied() below.
+A page is cut into flat blocks at block-level tags. A block's features are its word count and link density, those of
+the block before and after it, whether it is a heading, its place (PLACES) and whether it stands in a region whose tag,
+class or id speaks of menus, adverts, notices, reader comments and the like. A decision tree (Gini) is trained on the
+small labelled table in PAGES and graded(): a page there is a row of blocks with word count, linked words and label.
+The tree asks for link density and word counts first: of splits that are equally good the one on the earlier feature
+is taken. Menus and link lists go by link density (theirs and their neighbours'), prose outside articles stays by its
+and its neighbours' word counts; what only a region tells (a long comment, a long footer) goes by the region.
 
-Blocks of scripts, styles, heads, forms and hidden elements are never text. Hints of elements around an article don't
-count inside it: markup that is never closed there doesn't spill over.
+Blocks of scripts, styles, heads, forms and hidden elements are never text. An article inside a form is read: the form
+then wraps the page. A region that was never closed ends where an article begins, but for those in LASTING: articles
+in them are comments or teasers.
 
 Defined results: null or empty html has empty text; unclosed tags, quotes, comments and cut-off pages are read as far
-as they go; every block is judged, however many; repeated rows give equal results.
+as they go; every block is judged, however many, in time linear in the page however deep its elements are nested;
+repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -28,20 +33,35 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 #: Elements without text of their own that is read, and of those the ones whose content is no markup.
-DROPPED = frozenset("head script style noscript template svg select option button textarea iframe object form canvas audio video math datalist".split())
+DROPPED = frozenset("head script style noscript template svg select option button textarea iframe object form canvas audio video datalist".split())
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that may stand in a head; any other one ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: A tag of these ends one of its kind that is open, if only _LOOSE ones stand between.
+_ENDING = frozenset("p li td th tr dt dd option".split())
+_LOOSE = frozenset("b i em strong a span u p small font".split())
+
 BOILER_TAGS = frozenset(("nav", "footer", "aside", "menu", "dialog", "search"))
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription share sharing social related recommended comment comments reply replies disqus login signup widget copyright legal pagination pager toolbar".split()
 )
-LEAVES = 1
+LASTING = frozenset("comment comments reply replies disqus related recommended sidebar aside footer".split())
+#: Class words of elements that hold the text where a page has no article.
+MAIN_WORDS = frozenset("main article post entry story".split())
+#: Class words before a boiler word that say something of the page and not of the element ("has-sidebar").
+_ABOUT = frozenset("has have with no not without show hide is".split())
 
-_TAG = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/>=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_PARTS = re.compile(r"[^a-z]+")
+#: A whole tag behind its name, where all is as it should be; else _attributes() reads one attribute after another.
+_PLAIN = re.compile(r"""(?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`/][^\s"'=<>`]*+))?+)*+\s*+/?>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_SPACE, _WORD, _VALUE = re.compile(r"[\s/]*+"), re.compile(r"[^\s=>/][^\s=>/]*+"), re.compile(r"[^\s>]*+")
+_ASKED = re.compile(r"(?i)class|id|role|hidden|style")
+_NONE = re.compile(r"(?i)display\s*:\s*none")
+_TOKENS = re.compile(r"[\s,;]+")
+_PARTS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
@@ -51,22 +71,47 @@ class Block:
     words: int
     link_density: float
     heading: int
-    article: int
+    within: int  # 2: an article, 1: an element that speaks of the main text, 0: neither
     hint: int
 
 
+def region_words(value: str) -> set[str]:
+    """The words of a class, id or role, in lower case; a token like "has-sidebar" gives none."""
+    found: set[str] = set()
+    for token in _TOKENS.split(value):
+        parts = [p for p in _PARTS.split(token if token.islower() else re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if p]
+        if parts and parts[0] not in _ABOUT:
+            found.update(parts)
+    return found
+
+
+class _Element:
+    """What holds in an open element: dropped (0, 1, or 2: only by a form), boiler region, lasting region, and so on."""
+
+    __slots__ = ("tag", "dropped", "hint", "lasting", "within", "link", "tight", "blocks")
+
+    def __init__(self, tag, dropped, hint, lasting, within, link, tight, blocks):
+        self.tag, self.dropped, self.hint, self.lasting, self.within, self.link = tag, dropped, hint, lasting, within, link
+        self.tight, self.blocks = tight, blocks  # how many of the open elements up to it aren't loose, and are blocks
+
+
+_ROOT = _Element("", 0, 0, 0, 0, 0, 0, 0)
+
+
 class _Reader:
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, int, int, int, int]] = []  # tag, dropped, hint, article, link: of it and all around it
+        self.stack: list[_Element] = [_ROOT]
+        self.places: dict[str, list[int]] = {}  # of every tag where it is open
         self.parts: list[str] = []
         self.linked = self.heading = 0
 
     def text(self, s: str) -> None:
-        if self.stack and self.stack[-1][1]:
+        top = self.stack[-1]
+        if top.dropped:
             return
         self.parts.append(s)
-        if self.stack and self.stack[-1][4]:
+        if top.link:
             self.linked += len(s.split())
 
     def cut(self) -> None:
@@ -74,57 +119,101 @@ class _Reader:
             text = "".join(self.parts)
             words = (entities.unescape(text) if "&" in text else text).split()
             if words:
-                _, _, hint, article, _ = self.stack[-1] if self.stack else ("", 0, 0, 0, 0)
-                self.blocks.append(Block(" ".join(words), len(words), min(1.0, self.linked / len(words)), self.heading, article, int(hint > 0)))
+                top = self.stack[-1]
+                self.blocks.append(Block(" ".join(words), len(words), min(1.0, self.linked / len(words)), self.heading, top.within, int(top.hint > 0)))
             self.parts, self.linked = [], 0
 
-    def open(self, tag: str, rest: str) -> None:
+    def pop(self, to: int) -> None:
+        """Closes the open elements from place `to` on."""
+        for e in self.stack[to:]:
+            self.places[e.tag].pop()
+            if e.tag in HEADINGS:
+                self.heading = 0
+        del self.stack[to:]
+
+    def open(self, tag: str, attributes: list[tuple[str, str]], closed: bool) -> None:
+        stack, places = self.stack, self.places
+        if tag not in _IN_HEAD and tag != "head" and places.get("head"):
+            self.pop(places["head"][-1])
         if tag in BLOCK:
             self.cut()
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end one of their kind that is open
-                for k in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[k][0] == tag:
-                        del self.stack[k:]
-                        break
-                    if self.stack[k][0] not in ("b", "i", "em", "strong", "a", "span", "u", "p", "small", "font"):
-                        break
-        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
-            if tag == "br":
-                self.cut()
+            if tag in _ENDING and places.get(tag):
+                k = places[tag][-1]
+                if stack[-1].tight == stack[k].tight:
+                    self.pop(k)
+        if tag in VOID or closed and tag not in BLOCK:
             return
-        _, dropped, hint, article, link = self.stack[-1] if self.stack else ("", 0, 0, 0, 0)
-        words: set[str] = set()
-        if "=" in rest:
-            for name, value in _ATTRIBUTE.findall(rest):
-                value = value.strip("\"'").lower()
-                words.update(_PARTS.split(value))
-        bad = tag in BOILER_TAGS or bool(words & BOILER_WORDS) or tag == "header" and not article or bool(words & {"header"}) and not article and tag not in ("h1", "h2", "h3")
-        if (tag in ("article", "main") or "main" in words and tag in ("div", "section", "td")) and not bad:
-            article, hint = 1, 0
+        top = stack[-1]
+        dropped, hint, lasting, within, words, hidden = top.dropped, top.hint, top.lasting, top.within, set(), False
+        for name, value in attributes:
+            name = name.lower()
+            if name in ("class", "id", "role"):
+                words |= region_words(value.strip("\"'"))
+            elif name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true" or name == "style" and _NONE.search(value):
+                hidden = True
+        if tag in ("html", "body"):
+            words = set()
+        bad = tag in BOILER_TAGS or bool(words & BOILER_WORDS) or not within and (tag == "header" or "header" in words and tag not in HEADINGS)
+        if tag == "article" and not bad:
+            if not lasting:
+                within, hint = 2, 0
+            if dropped == 2:
+                dropped = 0
+        elif not bad and (tag == "main" or words & MAIN_WORDS and tag in ("div", "section", "td", "main")):
+            within, hint = max(within, 1), hint if lasting or within else 0
+            if dropped == 2 and tag == "main":
+                dropped = 0
         elif bad:
-            hint += 1
-        if tag in DROPPED or rest and ("hidden" in rest or "display" in rest) and _HIDDEN.search(rest):
-            dropped = 1
-        self.stack.append((tag, dropped, hint, article, int(link or tag == "a")))
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            hint, lasting = hint + 1, lasting or int(tag in LASTING or bool(words & LASTING))
+        if tag in DROPPED or hidden:
+            dropped = 2 if tag == "form" and not hidden and dropped in (0, 2) else 1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(_Element(tag, dropped, hint, lasting, within, int(top.link or tag == "a"), top.tight + (tag not in _LOOSE), top.blocks + (tag in BLOCK)))
+        if tag in HEADINGS:
             self.heading = 1
 
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.cut()
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.heading = 0
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if tag not in BLOCK and tag not in DROPPED and any(x[0] in BLOCK for x in self.stack[k + 1 :]):
-                    return  # an inline end doesn't close blocks
-                del self.stack[k:]
-                return
+        if not self.places.get(tag):
+            return
+        k = self.places[tag][-1]
+        if tag not in BLOCK and tag not in DROPPED and self.stack[-1].blocks > self.stack[k].blocks:
+            return  # an inline end doesn't close blocks
+        self.pop(k)
+
+
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[list[tuple[str, str]], int]:
+    """Attributes of a tag that isn't well written, and where it ends. A quote that is never closed is a letter."""
+    found, n = [], len(page)
+    while True:
+        at = _SPACE.match(page, at).end()
+        if at >= n:
+            return found, n
+        if page[at] == ">":
+            return found, at + 1
+        if page[at] == "=":
+            at += 1
+            continue
+        m = _WORD.match(page, at)
+        at, value = _SPACE.match(page, m.end()).end(), ""
+        if at < n and page[at] == "=":
+            at += 1
+            while at < n and page[at].isspace():
+                at += 1
+            if at < n and page[at] in "\"'" and last[page[at]] > at:
+                end = page.index(page[at], at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                v = _VALUE.match(page, at)
+                value, at = v[0], v.end()
+        found.append((m[0], value))
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in its order."""
-    r, at, n, open_quote = _Reader(), 0, len(page), False
+    r, at, n = _Reader(), 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
     while at < n:
         lt = page.find("<", at)
         if lt == -1:
@@ -145,22 +234,21 @@ def blocks(page: str) -> list[Block]:
                 r.text("<")
                 at = lt + 1
                 continue
-            whole = None if open_quote else _TAG.match(page, m.end())
+            tag, past = m[0].lower(), m.end()
+            whole = _PLAIN.match(page, past)
             if whole is None:
-                open_quote = open_quote or "'" in page[m.end() :] or '"' in page[m.end() :]
-                end = page.find(">", m.end())
-                end = n if end == -1 else end + 1
+                found, at = _attributes(page, past, last)
             else:
-                end = whole.end()
-            tag, at = m[0].lower(), end
+                at = whole.end()
+                found = _ATTRIBUTE.findall(whole[0]) if at - past > 4 and _ASKED.search(whole[0]) else []
             if following == "/":
                 r.close(tag)
                 continue
-            r.open(tag, page[m.end() : end - 1])
+            r.open(tag, found, page[at - 2] == "/")
             if tag in RAW:
-                stop = _RAW_END[tag].search(page, end)
+                stop = _RAW_END[tag].search(page, at)
                 if tag not in DROPPED and tag != "title":
-                    r.text(page[end : stop.start() if stop else n])
+                    r.text(page[at : stop.start() if stop else n])
                 at = stop.start() if stop else n
         else:
             r.text("<")
@@ -169,67 +257,127 @@ def blocks(page: str) -> list[Block]:
     return r.blocks
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "article", "hint")
+FEATURES = ("link_density", "words", "link_density_before", "link_density_after", "words_before", "words_after", "heading", "place", "hint")
+#: Outside the article of a page that has one; on a page without; in an element that speaks of the main text, on a page
+#: without; in the article.
+PLACES = {"outside": 0, "none": 1, "main": 2, "article": 3}
 
 
 def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; missing neighbours count as empty."""
-    own = np.array([(b.words, b.link_density) for b in found], float).reshape(-1, 2)
-    empty = np.zeros((1, 2))
-    rest = np.array([(b.heading, b.article, b.hint) for b in found], float).reshape(-1, 3)
-    return np.hstack([own, np.vstack([empty, own[:-1]])[: len(own)], np.vstack([own[1:], empty])[: len(own)], rest])
+    within = np.array([b.within * (not b.hint) for b in found], np.int64)
+    most = within.max(initial=0)
+    place = np.where(within == 2, 3, 0) if most == 2 else np.where(within == 1, 2, 0) if most == 1 else np.ones(len(found), np.int64)
+    density, words = np.array([b.link_density for b in found], float), np.array([b.words for b in found], float)
+    before, after = (lambda x: np.append(0.0, x[:-1])[: len(x)]), (lambda x: np.append(x[1:], 0.0)[: len(x)])
+    rest = [np.array([b.heading for b in found], float), place, np.array([b.hint for b in found], float)]
+    return np.stack([density, words, before(density), after(density), before(words), after(words), *rest], axis=1) if found else np.zeros((0, len(FEATURES)))
 
 
-#: Labelled pages: each line is markup; blocks that are main text are marked with the letter M and a colon before them.
+#: Labelled pages, their blocks in order: word count, behind a slash how many of the words are linked (* all of them),
+#: h before a heading, + behind main text; a name and brackets around a region, of class words or article or main.
 PAGES = (
-    """<html><head><title>t</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News today</a></li></ul></nav><div class=ad>Buy these fine shoes now and save a lot of money this week only.</div><article><h1>M:A short heading</h1><p>M:Yes.</p><p>M:The first paragraph of the story tells at some length what has happened in the town.</p><p>M:See <a href=/x>the report</a></p><p>M:No.</p></article><footer>(c) some host. All rights reserved by the owners of this site.</footer></body></html>""",
-    """<body><header><a href=/>Logo</a> Site of many words that nobody reads at all</header><div class=sidebar><p>About the author: lives and writes in a small house by the sea, with two cats.</p><ul><li><a href=/1>One link here</a></li><li><a href=/2>Second link here</a></li></ul></div><main><h1>M:Heading of the piece</h1><p>M:One.</p><p>M:Long text of the piece goes on and on for quite a few words so that it looks like prose.</p><ul><li>M:first point</li><li>M:second point</li></ul><aside>Read also what others say about this and much more on our pages.</aside><p>M:Last words.</p><section class=comments><p>I liked this story very much indeed, thank you for writing it.</p><p>Me too.</p></section></main><footer><p>Imprint</p></footer></body>""",
-    """<body><div id=menu><a href=/>Start</a> <a href=/n>News</a> <a href=/s>Sport</a></div><div><h2>M:Title without an article element</h2><p>M:The text of this page stands in a plain division, and it has enough words in a row to be taken for prose by anyone who counts them.</p><p>M:It goes on in a second paragraph that is about as long as the one before it, and there is only <a href=/l>one link</a> in it.</p><p>M:A middling one of twelve words stands between two that are long.</p><p>M:The end comes with another paragraph of a good many words, none of which are linked to any other page.</p></div><div><a href=/1>More news</a> <a href=/2>Older news</a> <a href=/3>Contact</a></div><div class=cookie-notice>We use cookies to make this site better for you, please accept them all now.</div><div>Terms of use</div></body>""",
-    """<body><div><a href=/h>Home</a></div><div>Log in</div><div>M:Only one block of prose is here, which has as many words as a short paragraph in a letter would have, more or less.</div><div><a href=/p>Privacy</a> | <a href=/t>Terms</a></div><div>Page 1 of 2</div></body>""",
-    """<body><ul><li><a href=/a>Alpha</a></li><li><a href=/b>Beta</a></li></ul><article><header><h1>M:In an article</h1></header><p>M:Ja.</p><div class=advert>Cheap flights to the south, book them today and fly tomorrow morning.</div><p>M:Text after the advert goes on.</p><p><a href=/z>M:A linked line of the article</a></p><div class=share><a href=/f>Share</a></div><div class=comments><article class=comment><p>What a fine article this is, I read it twice.</p></article></div></article><div class=newsletter>Subscribe to our letter and get all the news by mail each morning.</div></body>""",
-    """<body><div><a href=/1>All the latest news from the town and its region</a> <a href=/2>Ten things that you should know before you go</a></div><div><p>M:Prose without any element that says so, in a paragraph that has well over a dozen words and no link.</p><p>M:Short and plain.</p><p>M:More prose follows here, which names <a href=/q>a source</a> in passing but is otherwise free of links of any kind.</p></div><div><a href=/3>Why everyone talks about the new bridge over the river</a> <a href=/4>The ten best walks in the hills this spring</a></div><div>Twelve words about this host stand alone between two lists of links.</div><div><a href=/5>Contact us by mail or call our office in the morning</a></div></body>""",
-    """<body><div>Menu</div><div>Search</div><h1>M:Plain old page</h1><p>M:This page has no division of any kind, its paragraphs stand one after the other as they did in the early days of the web.</p><p>M:Each of them is long enough to be told apart from a menu, and holds no links whatever to anything.</p><p>M:A third of them closes the text, and it is followed by nothing but a line of links at the very bottom.</p><p><a href=/i>Index</a> <a href=/u>Up</a> <a href=/n>Next</a></p></body>""",
+    "nav[1* 1* 2* 1* 2*] ad[12] article[h8+ 20+ 1+ 35+ 14/2+ 60+ 3+] footer[9]",
+    "nav[1* 2* 1*] ad[3] article[h5+ 7+] footer[27]",
+    "header[2* 8] sidebar[14 3* 3*] main[h4+ 2+ 30+ 2+ 2+ aside[11] 45+ 2+ comments[10 2]] footer[1]",
+    "1* 1* 1* h5+ 40+ 32/2+ 12+ 50+ 2* 2* 1* notice[14] 3",
+    "1* 2 28+ 3/2 4",
+    "2* 2* article[header[h4+] 1+ advert[10] 6+ 6*+ 25+ share[1*] comments[10 32]] newsletter[14]",
+    "10* 9* 20+ 3+ 24/2+ 10* 10* 12 10*",
+    "1 1 h3+ 24+ 20+ 22+ 1* 1* 1*",
+    "nav[1* 1*] article[h7+ 22+ 5+ 18+ 6* 7* 5* 30+ 4*+ 26+ h2 8* 9* 6*] footer[40]",
+    "article[h6+ 30+ 25+ comments[h2 25 40 3 60 12]] footer[60]",
+    "article[h6+ 30+] comments[h2 25 40 3 60 12 90] notice[33] footer[5 30 80]",
+    "30 45/3 article[h9+ 3+ 50+ 1+] 25 40 2 60",
+    "nav[2* 2*] h6+ 40+ 5+ 38+ sidebar[20 44 3* 50] 42+ footer[35 60] notice[28 50]",
+    "main[h6+ 30+ 4+ 36+ 2+ 41+ 5* 6* 4*] 21 33 footer[20]",
+    "main[h3+ 1+ 17+ 9+ 25/5+ 8+] comments[15 30 45]",
+    "3* 3* 4* 2 h4+ 18+ 33+ 7+ 41/3+ 29+ h2 7* 8* 6* 5* 2 1* 1*",
+    "4 2* 3* 55+ 70+ 6+ 48+ 2+ 90+ 3 2* 2* 5",
+    "2* 1* 3* 3* h7+ 35+ h3+ 28+ 44+ h2+ 61+ 3* 4* 2*",
+    "cookie[40 12 2*] 2* 2* h5+ 25+ 31+ 9+ 27+ legal[50] 2*",
+    "main[h5+ 22+ 16+ 3* 4*+ 20+] related[h2 7* 12 6* 15]",
+    "main[h5+ 26+ 5*+ 19+ 12*+ 33+ 6* 4* 8* 5*]",
+    "14* 12* 11* 13* 16* 2 15* 12*",
+    "1* 1* 30+ 45+ 1* 1* 30* 45* 20*",
+    "article[h4+ 12+ 9*+ 3+ h3+ 2+ 2+ 2+ 15/6+ 18/9+ 1*+ 16+] 9 4*",
+    "article[2/1+ 5/2+ 7+ 3/1+ 4/2+] 3/1 4/2",
+    "32+",
+    "h5+ 19+",
+    "h4+ 27+ 40+ 3+ 65+",
+    "h2+ 24+ 31/4+ 18+ 2* 3* 2*",
+    "1* 2* 1* 90+ 12+ 28+",
+    "2* 2* h6+ 16+ 22+ 4+ 37+ 5 2* 1* 2*",
+    "3 2 4 1* 2*",
 )
 
 
-def varied() -> str:
-    """A page by rule: an article with blocks of 1 to 30 words, every third one linked, every fifth a heading, and lists of links below."""
-    out = []
-    for n in range(1, 31):
-        words = " ".join(["M:word", *["word"] * (n - 1)])
-        out.append(f"<h2>{words}</h2>" if n % 5 == 0 else f"<p><a href=/{n}>{words}</a></p>" if n % 3 == 0 else f"<p>{words}</p>")
-    lists = "".join(f"<div><a href=/{n}>{' '.join(['word'] * n)}</a></div>" for n in (12, 20, 30, 45, 60))
-    return f"<body><div><a href=/>Start</a></div><article>{''.join(out)}</article><div>Imprint</div>{lists}</body>"
+def graded() -> list[str]:
+    """Pages by rule: every size of block in every place, with the label that only the place tells."""
+    out, sizes = [], (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233)
+    menu = "nav[1* 2* 1* 1* 3* 2* 1* 2* 1* 2* 4* 1*]"
+    for n, m in zip(sizes, (*sizes[5:], *sizes[:5]), strict=True):
+        for region in ("footer", "cookie", "comments", "ad"):
+            out.append(f"{menu} {region}[{n}] article[h{min(n, 13)}+ {n}+ {region}[{m} {n}] {m}+] {region}[{n} {m}]")
+            out.append(f"{region}[{n}] {menu} main[h{min(m, 13)}+ {m + 15}+ {n}+ 40+ {region}[{n} {m}]] {region}[{m}]")
+        out.append(f"{menu} {n} {m} article[{n}+ {m}+ {n}+] {m} {n}")
+        out.append(f"{menu} h4+ 30+ {n}+ 30+ ad[{m}] 25+ footer[{n} {m}]")
+        out.append(f"2* {n}* 1* h4+ 30+ 26+ {n}* {m}* {n}*")
+        out.append(f"article[h5+ {n}+ {m}* {n}* {m}* {n}+ {n}*+ {m}+] {n}* {m}*")
+    return out
+
+
+_TOKEN = re.compile(r"(\w+)\[|(h?)(\d+)(?:/(\d+)|(\*))?(\+)?|(\])|\s+")
+
+
+def labelled_page(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks and labels (1: main text) of a page in the notation of PAGES."""
+    found, labels, around = [], [], [(0, 0)]
+    for m in _TOKEN.finditer(page):
+        region, h, words, linked, whole, main, end = m.groups()
+        within, hint = around[-1]
+        if region:
+            own = {"article": 2, "main": 1}.get(region, 0)
+            boiler = region in BOILER_TAGS or region in BOILER_WORDS or region == "header" and not within
+            around.append((max(within, own), hint + boiler))
+        elif words:
+            n = int(words)
+            found.append(Block("", n, 1.0 if whole else int(linked or 0) / n, int(bool(h)), within, int(hint > 0)))
+            labels.append(int(bool(main)))
+        elif end:
+            around.pop()
+    return found, labels
 
 
 def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     """The labelled table: features and label (1: main text) of every block of these pages."""
-    xs, ys = [], []
-    for page in (*PAGES, varied()):
-        found = blocks(page.replace("M:", "\x01"))
-        ys += [int("\x01" in b.text) for b in found]
-        xs.append(features(blocks(page.replace("M:", ""))))
-    return np.vstack(xs), np.array(ys)
+    pages = [labelled_page(p) for p in (*PAGES, *graded())]
+    return np.vstack([features(found) for found, _ in pages]), np.array([x for _, labels in pages for x in labels])
 
 
 def grow(x: np.ndarray, y: np.ndarray):
     """A decision tree: a label, or (feature, threshold, tree at or below it, tree above it).
 
-    The split of least Gini impurity; of equals the one on the later feature (place before counts), then the lower.
+    The split of least Gini impurity; of equals the one on the earlier feature, then the lower.
     """
-    if len(y) <= LEAVES or y.min() == y.max():
-        return int(y.mean() >= 0.5)
+    if y.min() == y.max():
+        return int(y[0])
     best = None
-    for f in range(x.shape[1] - 1, -1, -1):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= t
-            cost = sum(len(p) * (1 - p.mean() ** 2 - (1 - p.mean()) ** 2) for p in (y[low], y[~low]))
-            if best is None or cost < best[0] - 1e-9:
-                best = (cost, f, float(t), low)
+    for f in range(x.shape[1]):
+        values, place = np.unique(x[:, f], return_inverse=True)
+        if len(values) < 2:
+            continue
+        size, ones = np.bincount(place), np.bincount(place, y)
+        n, k = np.cumsum(size)[:-1], np.cumsum(ones)[:-1]
+        rest, others = len(y) - n, y.sum() - k
+        cost = 2 * (k * (n - k) / n + others * (rest - others) / rest)
+        at = int(np.argmin(cost.round(9)))
+        if best is None or cost[at] < best[0] - 1e-9:
+            best = (float(cost[at]), f, float(values[at] + values[at + 1]) / 2)
     if best is None:
         return int(y.mean() >= 0.5)
-    _, f, t, low = best
+    _, f, t = best
+    low = x[:, f] <= t
     return f, t, grow(x[low], y[low]), grow(x[~low], y[~low])
 
 
