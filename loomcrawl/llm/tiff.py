@@ -2,10 +2,13 @@
 
 Reads classic TIFF (either byte order), compression none (1), LZW (5), deflate (8, 32946) and PackBits (32773),
 predictors none (1) and horizontal differencing (2), strips and tiles, 8- and 16-bit samples, chunky layout.
-The writer makes 8-bit grey pages with the same codecs.
+The writer makes all of these.
 
-Defined results: null or empty media has no page; a broken file gives one row with `error` set and no samples;
-directories that point back at a visited one end the walk; extra columns of the input don't matter.
+Sizes are checked before memory is asked for: a directory that claims more samples than its bytes can hold in its
+compression, or pages of more than PAGE_BYTES, is an error, and nothing is unpacked beyond the size of its strip or tile.
+
+Defined results: null or empty media has no page; a broken file gives its sound pages and one row with `error` set and
+no samples; directories that point back at a visited one end the walk; extra columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from loomcrawl.llm.common import map_batches, table, texts_of
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+#: Bytes that one stored byte can stand for at most: a run of 128 in two bytes; 1,032 in deflate; a word of 4,096 in nine bits.
+_GROWTH = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, 32946: 1032, LZW: 3641}
+#: The largest page that is read; larger ones are errors.
+PAGE_BYTES = 1 << 30
 
 
 class TiffError(ValueError):
@@ -98,11 +105,12 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, size: int) -> bytes:
+    """The first `size` bytes or few more."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     words, width, at, last, out = list(first), 9, 0, b"", []
-    value, have = 0, 0
-    while True:
+    value, have, made = 0, 0, 0
+    while made < size:
         while have < width:
             if at >= len(data):
                 return b"".join(out)
@@ -122,10 +130,14 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(word)
+        made += len(word)
         if last:
+            if len(words) == 4096:
+                raise TiffError("LZW table overflows")
             words.append(last + word[:1])
         last = word
         width = min(12, max(9, (len(words) + 1).bit_length()))
+    return b"".join(out)
 
 
 _PACK = {NONE: bytes, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 6), PACKBITS: packbits}
@@ -135,38 +147,58 @@ def _unpack(kind: int, data: bytes, size: int) -> bytes:
     if kind == NONE:
         return data
     if kind == LZW:
-        return unlzw(data)
+        return unlzw(data, size)
     if kind in (DEFLATE, 32946):
-        return zlib.decompressobj().decompress(data)
+        return zlib.decompressobj().decompress(data, size) if size else b""
     if kind == PACKBITS:
         return unpackbits(data, size)
     raise TiffError(f"compression {kind}")
 
 
-def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_bytes: int = 65536) -> bytes:
-    """A little-endian TIFF of 8-bit grey pages (rows x columns), in strips of about strip_bytes."""
-    out, links = bytearray(struct.pack("<2sHI", b"II", 42, 0)), 4
+def _parts(page: np.ndarray, strip_bytes: int, tile: tuple[int, int] | None) -> tuple[int, Iterator[np.ndarray]]:
+    """Rows of a strip, and the strips; or the tiles, filled up with zeros at the edges."""
+    rows, cols = page.shape[:2]
+    if tile is None:
+        per = max(1, strip_bytes // max(1, page[:1].nbytes))
+        return per, (page[at : at + per] for at in range(0, rows, per))
+    width, height = tile
+    whole = np.zeros((-(-rows // height) * height, -(-cols // width) * width, page.shape[2]), page.dtype)
+    whole[:rows, :cols] = page
+    return 0, (whole[t : t + height, x : x + width] for t in range(0, rows, height) for x in range(0, cols, width))
+
+
+def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_bytes: int = 65536, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
+    """A TIFF of pages (rows x columns, or rows x columns x channels; 8- or 16-bit), in strips of about strip_bytes or in tiles (width, height)."""
+    out, links = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0)), 4
     for page in pages:
-        rows, cols = page.shape
-        per = max(1, strip_bytes // cols)
+        page = page.reshape(*page.shape[:2], -1)
+        rows, cols, deep = page.shape
+        bits = 8 * page.itemsize
+        per, parts = _parts(page, strip_bytes, tile)
         packed = []
-        for at in range(0, rows, per):
-            part = page[at : at + per]
+        for part in parts:
             if predictor == 2:
-                part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(np.uint8)
-            packed.append(_PACK[compression](part.tobytes()))
+                part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(page.dtype)
+            packed.append(_PACK[compression](part.astype(part.dtype.newbyteorder(order)).tobytes()))
         offsets = []
         for p in packed:
             offsets.append(len(out))
             out += p + b"\0" * (len(p) & 1)
-        arrays = []
-        for values in (offsets, [len(p) for p in packed]):
-            arrays.append(values[0] if len(values) == 1 else len(out))
-            if len(values) > 1:
-                out += struct.pack(f"<{len(values)}I", *values)
-        struct.pack_into("<I", out, links, len(out))
-        entries = [(256, 4, 1, cols), (257, 4, 1, rows), (258, 3, 1, 8), (259, 3, 1, compression), (262, 3, 1, 1), (273, 4, len(packed), arrays[0]), (277, 3, 1, 1), (278, 4, 1, per), (279, 4, len(packed), arrays[1]), (317, 3, 1, predictor)]
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
+
+        def values(kind: str, numbers: list[int]) -> bytes:
+            """What an entry holds: its numbers, or where they stand."""
+            raw = struct.pack(f"{order}{len(numbers)}{kind}", *numbers)
+            if len(raw) > 4:
+                out.extend(raw + b"\0" * (len(raw) & 1))
+                raw = struct.pack(f"{order}I", len(out) - len(raw) - (len(raw) & 1))
+            return raw.ljust(4, b"\0")
+
+        sizes = [len(p) for p in packed]
+        layout = [(273, "I", offsets), (278, "I", [per]), (279, "I", sizes)] if tile is None else [(322, "I", [tile[0]]), (323, "I", [tile[1]]), (324, "I", offsets), (325, "I", sizes)]
+        tags = [(256, "I", [cols]), (257, "I", [rows]), (258, "H", [bits] * deep), (259, "H", [compression]), (262, "H", [2 if deep == 3 else 1]), (277, "H", [deep]), (317, "H", [predictor]), *layout]
+        entries = [struct.pack(f"{order}HHI", tag, 3 if kind == "H" else 4, len(numbers)) + values(kind, numbers) for tag, kind, numbers in sorted(tags)]
+        struct.pack_into(f"{order}I", out, links, len(out))
+        out += struct.pack(f"{order}H", len(entries)) + b"".join(entries)
         links = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
@@ -195,7 +227,16 @@ def _samples(data: bytes, tags: dict[int, list[int]], order: str) -> np.ndarray:
     kind, predictor = tags.get(259, [1])[0], tags.get(317, [1])[0]
     width, height = (tags[322][0], tags[323][0]) if 322 in tags else (cols, min(rows, tags.get(278, [rows])[0]))
     offsets, lengths = (tags[324], tags[325]) if 322 in tags else (tags[273], tags[279])
+    if min(rows, cols, deep, width, height) < 1:
+        raise TiffError("a size is zero or less")
     across, dtype = -(-cols // width), np.dtype(np.uint8 if bits == 8 else f"{order}u2")
+    if len(offsets) != len(lengths) or len(offsets) != across * -(-rows // height):
+        raise TiffError("the strips or tiles don't make up the page")
+    if kind not in _GROWTH:
+        raise TiffError(f"compression {kind}")
+    stored = sum(min(n, len(data)) for n in lengths)
+    if max(rows * cols, len(offsets) * width * height * (322 in tags)) * deep * bits // 8 > min(PAGE_BYTES, stored * _GROWTH[kind]):
+        raise TiffError("the page is larger than its bytes can hold, or than is read")
     whole = np.zeros((rows, cols, deep), dtype)
     for k, (o, n) in enumerate(zip(offsets, lengths, strict=True)):
         top, left = k // across * height, k % across * width
@@ -224,7 +265,7 @@ def decode(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
             tags, following = _directory(data, order, at)
             yield page, tags.get(259, [1])[0], tags.get(258, [8])[0], _samples(data, tags, order)
             at, page = following, page + 1
-    except (struct.error, KeyError, IndexError, ValueError, zlib.error) as e:
+    except (struct.error, KeyError, IndexError, ValueError, OverflowError, MemoryError, ZeroDivisionError, zlib.error) as e:
         raise e if isinstance(e, TiffError) else TiffError(f"broken file: {e}") from e
 
 
@@ -274,25 +315,37 @@ def payload(text: str) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
 
 
+#: Rows of a page of op2, and the forms its payloads take in turn, by their crc32: compression, predictor, tile.
+PAGE_ROWS = 1024
+FORMS = ((DEFLATE, 2, None), (LZW, 1, None), (PACKBITS, 2, (32, 32)), (DEFLATE, 1, (48, 16)))
+
+
+def media_of(raw: bytes) -> bytes:
+    """A payload as a TIFF of grey pages 64 samples wide; equal payloads have equal bytes."""
+    compression, predictor, tile = FORMS[zlib.crc32(raw) % len(FORMS)]
+    x = np.frombuffer(raw, np.uint8).reshape(-1, 64)
+    return encode([x[at : at + PAGE_ROWS] for at in range(0, len(x), PAGE_ROWS)], compression, predictor, 16384, tile)
+
+
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a grey TIFF page 64 samples wide, decoded again; the digests are of what was read back."""
+    """Every document as a TIFF of grey pages, decoded again page by page; the digests are of what was read back."""
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for t in texts_of(b.column(1)):
                 n, raw = payload(t)
-                media = encode([np.frombuffer(raw, np.uint8).reshape(-1, 64)])
-                [(_, _, _, x)] = decode(media)
+                media = media_of(raw)
+                x = np.concatenate([samples for _, _, _, samples in decode(media)])
                 back = x.tobytes()
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(x)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(7))], names=["doc_id", *names])
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(x), -(-len(x) // PAGE_ROWS)))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
+            return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(8))], names=["doc_id", *names])
 
         return step
 
-    return map_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    return map_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long", make)
 
 
 QUERIES = {"op2_tiff_pages": op2_tiff_pages}
