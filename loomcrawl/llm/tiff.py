@@ -14,6 +14,8 @@ no samples; directories that point back at a visited one end the walk; extra col
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,21 +39,20 @@ class TiffError(ValueError):
     """The bytes are no TIFF that this reader knows."""
 
 
+_RUN = re.compile(rb"(.)\1{1,127}", re.S)
+
+
 def packbits(data: bytes) -> bytes:
     """PackBits form of data: runs of two or more equal bytes, literals of up to 128."""
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i > 1:
-            out += bytes((257 - (j - i), data[i]))
-        else:
-            while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-                j += 1
-            out.append(j - i - 1)
-            out += data[i:j]
-        i = j
+    out, at = bytearray(), 0
+    for m in itertools.chain(_RUN.finditer(data), (None,)):
+        for i in range(at, m.start() if m else len(data), 128):
+            literal = data[i : min(i + 128, m.start() if m else len(data))]
+            out.append(len(literal) - 1)
+            out += literal
+        if m:
+            at = m.end()
+            out += bytes((257 - (at - m.start()), data[m.start()]))
     return bytes(out)
 
 
@@ -69,74 +70,83 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: Bits of the codes behind a clear code, in order: the width grows one code early, and the table is full at 4,096.
+_WIDTHS = np.array([min(12, (258 + i).bit_length()) for i in range(3839)])
+_CLEAR, _END = 256, 257
+
+
 def lzw(data: bytes) -> bytes:
-    """TIFF's LZW: most significant bit first, codes of 9 to 12 bits, the width grows one code early."""
-    out, bits, have = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(bits >> have & 255)
-        bits &= (1 << have) - 1
-
-    codes, width, word = {bytes((i,)): i for i in range(256)}, 9, b""
-    put(256, width)
+    """TIFF's LZW: most significant bit first, codes of 9 to 12 bits."""
+    codes, widths, own, known, word = [np.array([_CLEAR])], [_WIDTHS[:1]], [], {}, -1
+
+    def told() -> None:
+        codes.append(np.array(own))
+        widths.append(_WIDTHS[: len(own)])
+        own.clear()
+        known.clear()
+
     for c in data:
-        longer = word + bytes((c,))
-        if longer in codes:
+        if word < 0:
+            word = c
+            continue
+        longer = known.get(word << 8 | c)
+        if longer is not None:
             word = longer
             continue
-        put(codes[word], width)
-        codes[longer] = len(codes) + 2
-        width = max(9, (len(codes) + 2).bit_length())
-        if len(codes) + 2 >= 4094:
-            put(256, width)
-            codes, width = {bytes((i,)): i for i in range(256)}, 9
-        word = bytes((c,))
-    if word:
-        put(codes[word], width)
-        if len(codes) + 3 >= 1 << width and width < 12:
-            width += 1
-    put(257, width)
-    if have:
-        out.append(bits << (8 - have) & 255)
-    return bytes(out)
+        own.append(word)
+        known[word << 8 | c] = len(own) + 257
+        if len(own) == 3836:
+            own.append(_CLEAR)
+            told()
+        word = c
+    own += [word, _END] if word >= 0 else [_END]
+    told()
+    code, width = np.concatenate(codes), np.concatenate(widths)
+    end = np.cumsum(width)
+    bits = np.zeros(int(end[-1]), np.uint8)
+    for k in range(12):
+        has = width > k
+        bits[end[has] - 1 - k] = code[has] >> k & 1
+    return np.packbits(bits).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
     """The first `size` bytes or few more."""
+    raw, total = np.frombuffer(data + b"\0\0\0", np.uint8), 8 * len(data)
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    words, width, at, last, out = list(first), 9, 0, b"", []
-    value, have, made = 0, 0, 0
+    words, last, out, made, at, since = list(first), b"", [], 0, 0, 0
     while made < size:
-        while have < width:
-            if at >= len(data):
+        # All codes up to the next change of width, unless a clear code comes first.
+        width = int(_WIDTHS[min(since, len(_WIDTHS) - 1)])
+        n = min(int(np.searchsorted(_WIDTHS, width, "right")) - since if width < 12 else 4096, (total - at) // width)
+        if n <= 0:
+            break
+        place = at + width * np.arange(n)
+        byte = place >> 3
+        value = raw[byte].astype(np.int64) << 16 | raw[byte + 1].astype(np.int64) << 8 | raw[byte + 2]
+        for code in (value >> (24 - width - (place & 7)) & (1 << width) - 1).tolist():
+            at += width
+            since += 1
+            if code == _END:
                 return b"".join(out)
-            value, have, at = value << 8 | data[at], have + 8, at + 1
-        have -= width
-        code = value >> have
-        value &= (1 << have) - 1
-        if code == 257:
-            return b"".join(out)
-        if code == 256:
-            words, width, last = list(first), 9, b""
-            continue
-        if code < len(words):
-            word = words[code]
-        elif last and code == len(words):
-            word = last + last[:1]
-        else:
-            raise TiffError("LZW code out of range")
-        out.append(word)
-        made += len(word)
-        if last:
-            if len(words) == 4096:
-                raise TiffError("LZW table overflows")
-            words.append(last + word[:1])
-        last = word
-        width = min(12, max(9, (len(words) + 1).bit_length()))
+            if code == _CLEAR:
+                words, last, since = list(first), b"", 0
+                break
+            if code < len(words):
+                word = words[code]
+            elif last and code == len(words):
+                word = last + last[:1]
+            else:
+                raise TiffError("LZW code out of range")
+            out.append(word)
+            made += len(word)
+            if last:
+                if len(words) == 4096:
+                    raise TiffError("LZW table overflows")
+                words.append(last + word[:1])
+            last = word
+            if made >= size:
+                break
     return b"".join(out)
 
 
