@@ -1,13 +1,15 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-A word's features are its character n-grams of 2 to 4 between end marks (those at a mark are its affixes), its longer
+A word is a run of letters (Unicode category L); a run of more than PIECE letters is cut into words of that length, so
+every letter of a text without blanks counts. A word's features are its character n-grams of 2 to 4 between end marks (those at a mark are its affixes), its longer
 endings, and the languages whose lexicon of frequent words has it. Feature weights and the transitions between the
 languages of neighbouring words are learned together by stochastic gradient ascent on the conditional likelihood.
 Training sequences are code-switched on purpose: segments of labelled texts in a row, each word labelled with its
 text's language. Forward-backward then gives every word of a text, however long, its language's probability.
 
-The classifier is fitted on a bounded sample: about PER_LANGUAGE labelled texts of each language (by a hash of
-doc_id), of each at most SEGMENTS runs of SEGMENT words spread evenly over the text. All else covers every row.
+The classifier is fitted on a bounded sample: about PER_LANGUAGE labelled texts of each of the LANGUAGES most frequent
+languages (by a hash of doc_id), of each at most SEGMENTS runs of SEGMENT words spread evenly over the text. All else
+covers every row.
 
 Defined results: null text or text without a letter is `und` with score 0; ties go to the first language in
 alphabetical order; without any labelled row everything is `und`; repeated rows give equal results.
@@ -26,13 +28,16 @@ from pyspark.sql import functions as F
 from loomcrawl.llm.common import kept, map_batches, table, texts_of
 
 UNKNOWN = "und"
-PER_LANGUAGE, SEGMENTS, SEGMENT = 250, 6, 32
+PER_LANGUAGE, LANGUAGES, SEGMENTS, SEGMENT = 250, 200, 6, 32
 BUCKETS, LEXICON = 1 << 16, 400
 #: Words of one forward-backward run over many texts, and distinct words that a task keeps.
 RUN_WORDS, CACHE = 800_000, 200_000
 #: A text under this share of words in its best language has no clear one (pipeline).
 LEAST = 0.35
-_WORD = re.compile(r"[^\W\d_]+")
+PIECE = 40
+#: What \w has beside letters, decimal digits and the underscore: other numbers (all below U+20000) are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]{{1,{PIECE}}}")
 
 
 def words_of(text: str) -> list[str]:
@@ -40,7 +45,7 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    marked = f"^{word[:40]}$".encode("utf-8", "surrogatepass")
+    marked = f"^{word}$".encode("utf-8", "surrogatepass")
     crc, n = zlib.crc32, len(marked)
     grams = {marked[i : i + k] for k in (2, 3, 4) for i in range(n - k + 1)}
     grams.add(marked[-6:])
@@ -222,7 +227,7 @@ def held_out():
 def train(docs: DataFrame) -> Model | None:
     """A model from the rows of docs (doc_id, text, lang) that have a label and aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))])
