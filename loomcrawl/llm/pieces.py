@@ -7,8 +7,8 @@ outdated are skipped. Symbols that are no piece become byte pieces, or the unkno
 
 No piece of such a vocabulary has the blank's sign behind another character (checked when a model is read), so a merge
 never crosses the place before a blank, and each distinct chunk between such places passes the agenda once per task.
-Every text's ids are compared with the sentencepiece library's in the same Arrow batch; where they differ the
-library's are returned, and `agrees` is false.
+The agenda's ids are what is returned, hashed and decoded. Every text's are compared with the sentencepiece library's in
+the same Arrow batch; `agrees` is false where they differ, and strict=True makes that an error.
 
 Defined results: null counts as empty, which is the end id alone; decoding gives the library's text.
 """
@@ -129,7 +129,7 @@ class Agenda:
         return b"".join([cache[p] for p in parts])
 
 
-def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
+def digests(df: DataFrame, path: str, keep: bool = False, strict: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees; with keep also ids array<int> and decoded text."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"] + ["ids", "decoded"] * keep
     kinds = [None, pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.string()]
@@ -141,8 +141,11 @@ def digests(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             columns: list[list] = [[] for _ in names[1:]]
             for t in texts_of(b.column(1)):
-                ids = sp.encode(t, num_threads=1) if t else []
-                same = agenda.packed(t) == array(agenda.code, ids).tobytes()
+                packed = agenda.packed(t)
+                same = packed == array(agenda.code, sp.encode(t, num_threads=1)).tobytes() if t else True
+                if strict and not same:
+                    raise ValueError(f"the agenda's ids differ from the library's on a text of {len(t)} characters")
+                ids = array(agenda.code, packed).tolist()
                 ids.append(END)
                 decoded = sp.decode(ids)
                 row = (len(ids), hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), same, ids, decoded)
