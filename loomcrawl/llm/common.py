@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,19 +30,22 @@ def bound_batches(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a local folder is used and set.
+    Only where that setting is absent and driver and executors are one process (tests) a local folder is used and set;
+    elsewhere that is an error, as executors would write to disks that nobody else reads.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loomcrawl-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored(spark: SparkSession, df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """df written to the shared folder and read again: the lineage ends there, and a lost executor costs a re-read."""
     path = scratch(spark, label)
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # what a writing task buffers
+    df.write.option("parquet.block.size", 16 << 20).option("compression", compression).parquet(path)  # what a writing task buffers
     return spark.read.schema(df.schema).parquet(path), path
 
 

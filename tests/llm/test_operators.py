@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomcrawl.llm import dac, decontaminate, fixity, jaccard, langid, mainhtml, pieces, pii, prefixcounts, registry, tiff
+from loomcrawl.llm import dac, decontaminate, jaccard, langid, mainhtml, pieces, pii, prefixcounts, registry, tiff
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n", "a", "  a  b\n\tc ", "<s>a</s> <|endoftext|> x", "a▁b", "don't we've   they'll\n\n 'r x'rest", "ﬁ 𝕏 é \x00 \x1c a", "1234 5678,900!!!  ..", "word, word. word,\nWord. end", "x" * 2000, "The same text stands here twice.", "The same text stands here twice."]
@@ -232,15 +232,6 @@ def test_prefix_counts(spark, sf):
     assert got == {d: count(t or "") for d, t in docs(spark, sf)}
 
 
-def test_fixity(spark, sf):
-    rows = registry.QUERIES["op9_fixity"](spark, "/root/testdata/sf0.001").collect()
-    pages = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
-    assert len(rows) == len(pages) and all(r.damaged == (zlib.crc32((pages[r.page_id] or "").encode()) % fixity.DAMAGE == 0) for r in rows)
-    assert registry.QUERIES["op9_fixity"](spark, sf).count() == 5
-    data = spark.range(2).select(fixity.record(F.lit("u"), F.lit("é")).alias("r")).agg(F.array_join(F.collect_list("r"), "").alias("f")).first().f.encode()
-    assert [(n, p) for _, n, _, p in fixity.parse(data)] == [(len(data) // 2, "é".encode())] * 2
-
-
 def test_pipeline(spark, sf, empty):
     out = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     assert 5000 not in out and 0 not in out and 1 not in out
