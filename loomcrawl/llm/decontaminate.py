@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates, in DataFrame operations only.
 
-Canonical form: numbers, units behind a number, and capitalised words become typed placeholders, all else lower case.
+Canonical form: numbers in digits or words, units behind a number, and capitalised words become typed placeholders, all
+else lower case.
 Every window of WINDOW canonical words of a text is hashed, and where it has a capitalised word once more with those in
 lower case. An item's windows are hashed with every choice of its capitalised words as placeholders, the others in
 lower case. So a text's window meets an item's whatever case the item's words have in it, and a window that differs in
@@ -15,8 +16,8 @@ such word, the window doesn't count. A text holds an item if what counts covers
 Slot words keep their value behind a mark of their type, so types are compared without a second pass over the text.
 
 Defined results: null or empty texts and items hold nothing and match nothing; items of fewer than WINDOW words are
-one window, matched by equal windows of their own length; repeated rows of documents give repeated-looking results
-only if their ids differ (results are per doc_id); repeated items are matched each; empty tables give no rows.
+one window, matched by equal windows of their own length; texts that share a doc_id are judged each on its own, and the
+result has the best of them; equal rows count once; repeated items are matched each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BROADCAST_ROWS = 200_000
 #: START marks a capitalised word that begins a sentence; PAST sorts behind all marks.
 NUMBER, UNIT, NAME, START, PAST = "①", "②", "③", "④", "⑤"
 UNITS = "mm|cm|km|m|kg|g|mg|lb|lbs|oz|ml|l|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|kilometers?|kilometres?|grams?|kilograms?|pounds?|dollars?|euros?|usd|eur|percent|mph|kmh|degrees?|feet|foot|inch|inches|liters?|litres?"
+#: Numbers in words, without "one", which is a pronoun as well.
+NUMBER_WORDS = tuple("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 
 _WORDS = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}{UNIT}{NAME}{START}]+"
 
@@ -53,6 +56,7 @@ def marked(text: Column) -> Column:
     number = F.regexp_replace(number, f"(?<![\\p{{L}}\\p{{N}}])([0-9]+)[ ]?((?i:{UNITS}))(?![\\p{{L}}\\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
     number = F.regexp_replace(number, f"(?<![\\p{{L}}\\p{{N}}{NUMBER}])(?=[0-9])", NUMBER)
     x = F.when(x.rlike("[0-9]"), number).otherwise(x)
+    x = F.regexp_replace(x, f"(?<![\\p{{L}}\\p{{N}}])((?i:{'|'.join(NUMBER_WORDS)}))[ ]((?i:{UNITS}))(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2")
     x = F.regexp_replace(x, "(\\p{Lu}\\p{Ll})(?<![\\p{L}\\p{M}\\p{N}]..)", f"{START}$1")
     within = f"{START}(?:(?<=[\\p{{L}}\\p{{M}}\\p{{N}},;]{_BETWEEN}.)|(?<=(?<![\\p{{L}}\\p{{M}}\\p{{Nd}}])(?i:{_TITLES})[.]\\s{{0,8}}.))"
     return F.lower(F.regexp_replace(x, within, NAME))
@@ -67,15 +71,21 @@ def _bare(word: Column) -> Column:
     return F.substr(word, F.lit(2))
 
 
+def _numbered(word: Column) -> Column:
+    """A marked word; a number in words gets the mark of numbers."""
+    return F.when(word.isin(*NUMBER_WORDS), F.concat(F.lit(NUMBER), word)).when(word.isin(*[m + w for m in (NAME, START) for w in NUMBER_WORDS]), F.concat(F.lit(NUMBER), _bare(word))).otherwise(word)
+
+
 def _canonical(word: Column) -> Column:
-    """The hash of a marked word's canonical form."""
+    """The hash of the canonical form of a marked word, numbers in words among them."""
     slot = F.when(word < UNIT, F.xxhash64(F.lit(NUMBER))).when(word < NAME, F.xxhash64(F.lit(UNIT))).otherwise(F.xxhash64(F.lit(NAME)))
-    return F.when((word >= NUMBER) & (word < PAST), slot).otherwise(F.xxhash64(word))
+    in_words = word.isin(*NUMBER_WORDS, *[m + w for m in (NAME, START) for w in NUMBER_WORDS])
+    return F.when(in_words, F.xxhash64(F.lit(NUMBER))).when((word >= NUMBER) & (word < PAST), slot).otherwise(F.xxhash64(word))
 
 
 def _uncased(word: Column) -> Column:
     """The same, with names in lower case."""
-    return F.when(_named(word), F.xxhash64(_bare(word))).otherwise(_canonical(word))
+    return F.when(_named(word) & ~_bare(word).isin(*NUMBER_WORDS), F.xxhash64(_bare(word))).otherwise(_canonical(word))
 
 
 def _windows(h: Column, size: int = WINDOW) -> Column:
@@ -89,7 +99,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     A window comes once for each choice of its capitalised words as names. One that begins a sentence and also stands
     within one is marked as a name there, too.
     """
-    words = benchmark.select("item_id", F.filter(F.split(marked(F.col("text")), _WORDS), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    words = benchmark.select("item_id", F.transform(F.filter(F.split(marked(F.col("text")), _WORDS), lambda w: w != ""), _numbered).alias("w")).where(F.size("w") > 0)
     known = words.withColumn("names", F.filter("w", lambda w: (w >= NAME) & (w < START)))
     as_name = lambda w: F.concat(F.lit(NAME), _bare(w))
     decided = known.select("item_id", F.transform("w", lambda w: F.when((w >= START) & (w < PAST) & F.array_contains(F.col("names"), as_name(w)), as_name(w)).otherwise(w)).alias("w"))
@@ -110,28 +120,47 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Equal windows: doc_id, doc_pos, doc_words, and the columns of items.
+    """Equal windows: doc_id, row (a hash of the text), doc_pos, doc_words, and the columns of items.
 
     One pass over the texts: windows of all sizes that items have stand one after the other in one array, and behind
     them in the same order those with names in lower case (null where that changes nothing). Items are broadcast if
-    they are few, else both sides are shuffled by window.
+    they are few; else both sides are shuffled by window, of the texts no more than the window's own words, and
+    adaptive execution splits a window that very many texts have.
     """
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sizes = [WINDOW, *sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())]
-    texts = docs.select("doc_id", F.split(marked(F.col("text")), _WORDS).alias("w"))
-    words = texts.select("doc_id", "w", F.transform("w", _canonical).alias("h"), F.transform("w", _uncased).alias("u"))
-    both = words.select("doc_id", "w", F.concat(*[_windows(F.col("h"), size) for size in sizes]).alias("a"), F.concat(*[_windows(F.col("u"), size) for size in sizes]).alias("b"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), F.split(marked(F.col("text")), _WORDS).alias("w"))
+    words = texts.select("doc_id", "row", "w", F.transform("w", _canonical).alias("h"), F.transform("w", _uncased).alias("u"))
+    both = words.select("doc_id", "row", "w", F.concat(*[_windows(F.col("h"), size) for size in sizes]).alias("a"), F.concat(*[_windows(F.col("u"), size) for size in sizes]).alias("b"))
     # The array is a column of its own, so that the rows it becomes are joined in compiled code and don't copy w; outer,
     # as Spark else asks for the array's size first and works it out twice.
-    listed = both.select("doc_id", "w", F.size("a").alias("total"), F.concat("a", F.zip_with("a", "b", lambda a, b: F.nullif(b, a))).alias("all"))
-    windows = listed.select("doc_id", "w", "total", F.posexplode_outer("all").alias("at", "window"))
-    found = windows.where(F.col("window").isNotNull()).join(F.broadcast(items) if few else items, "window")
+    listed = both.select("doc_id", "row", "w", F.size("a").alias("total"), F.concat("a", F.zip_with("a", "b", lambda a, b: F.nullif(b, a))).alias("all"))
+    windows = listed.select("doc_id", "row", "w", "total", F.posexplode_outer("all").alias("at", "window")).where(F.col("window").isNotNull())
     n, at = F.size("w"), F.col("at") % F.col("total")
-    place, before = at, F.lit(0)
-    for size in sizes:  # where the windows of an item's size begin
-        place = F.when(F.col("size") == size, at - before).otherwise(place)
-        before = before + F.greatest(n - size + 1, F.lit(0))
-    return found.withColumn("doc_pos", place).select("doc_id", "doc_pos", F.slice("w", F.col("doc_pos") + 1, F.col("size")).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words")
+
+    def placed(rows: DataFrame, of_size) -> DataFrame:
+        """rows with doc_pos; of_size(size, first place of its windows, first place behind them) tells a row's own size."""
+        place, before = at, F.lit(0)
+        for size in sizes:
+            after = before + F.greatest(n - size + 1, F.lit(0))
+            place = F.when(of_size(size, before, after), at - before).otherwise(place)
+            before = after
+        return rows.withColumn("doc_pos", place)
+
+    if few:
+        found = placed(windows.join(F.broadcast(items), "window"), lambda size, lo, hi: F.col("size") == size)
+        found = found.withColumn("doc_words", F.slice("w", F.col("doc_pos") + 1, F.col("size")))
+    else:
+        slim = placed(windows, lambda size, lo, hi: (at >= lo) & (at < hi))
+        own = F.lit(WINDOW)
+        before = F.lit(0)
+        for size in sizes:
+            after = before + F.greatest(n - size + 1, F.lit(0))
+            own = F.when((at >= before) & (at < after), F.lit(size)).otherwise(own)
+            before = after
+        slim = slim.select("doc_id", "row", "window", "doc_pos", own.alias("size"), F.slice("w", F.col("doc_pos") + 1, own).alias("doc_words"))
+        found = slim.join(items, ["window", "size"])
+    return found.select("doc_id", "row", "doc_pos", F.transform("doc_words", _numbered).alias("doc_words"), "item_id", "n_windows", "item_pos", "item_words")
 
 
 def _let(value: Column, then) -> Column:
@@ -155,8 +184,15 @@ def _bound(slots: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, n_windows, matched, coverage, same_values: the texts that hold an item, and how."""
+    rows = _holding(docs, benchmark, cover)
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "same_values")).alias("best"), F.first("n_windows").alias("n_windows"))
+    return best.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "best.matched", F.round(F.col("best.matched") / F.col("n_windows"), 6).alias("coverage"), "best.same_values")
+
+
+def _holding(docs: DataFrame, benchmark: DataFrame, cover: float) -> DataFrame:
+    """The same for each text: doc_id, row, item_id, n_windows, matched, same_values."""
     found = hits(docs, item_windows(benchmark)).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
-    key = ["doc_id", "item_id", "diagonal"]
+    key = ["doc_id", "row", "item_id", "diagonal"]
     # A slot word of the item, its place, and what stands in its place; both with the mark of the type, names with NAME.
     as_name = lambda w: F.concat(F.lit(NAME), F.when(_named(w), _bare(w)).otherwise(w))
     begins = lambda w: (w >= START) & (w < PAST)
@@ -172,8 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     verbatim = lambda slots: F.forall(slots, lambda s: s["own"] == s["met"])
     holds = lambda w, bound: verbatim(w["slots"]) | F.forall(w["slots"], lambda s: F.array_contains(bound, F.struct(s["own"].alias("own"), s["met"].alias("met"))))
     left = _let(F.array_distinct(F.flatten("windows.slots")), lambda slots: _let(_bound(slots), lambda bound: F.filter("windows", lambda w: holds(w, bound))))
-    per = aligned.select("doc_id", "item_id", "n_windows", F.explode(left).alias("window")).groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("window.item_pos").cast("long").alias("matched"), F.min(verbatim(F.col("window.slots"))).alias("same_values"))
-    return per.where(F.col("matched") >= F.lit(cover) * F.col("n_windows")).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "matched", F.round(F.col("matched") / F.col("n_windows"), 6).alias("coverage"), "same_values")
+    per = aligned.select("doc_id", "row", "item_id", "n_windows", F.explode(left).alias("window")).groupBy("doc_id", "row", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("window.item_pos").cast("long").alias("matched"), F.min(verbatim(F.col("window.slots"))).alias("same_values"))
+    return per.where(F.col("matched") >= F.lit(cover) * F.col("n_windows"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +218,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that hold no item (rows with a null doc_id are judged together)."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    """Pipeline stage: the documents that hold no item, each row judged by its own text."""
+    bad = _holding(docs, benchmark, COVER).select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_row")), "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op6_decontaminate": op6_decontaminate}
