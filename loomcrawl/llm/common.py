@@ -123,8 +123,9 @@ class Recent(dict):
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of what df reads; where it has none (no files below), the bytes of df's text column."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def texts_of(column: pa.Array) -> list[str]:

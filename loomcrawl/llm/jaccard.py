@@ -20,7 +20,8 @@ a list with, mostly one, and not once for each partner.
 Shingle hashes have 64 bits: two different shingles of a text pair fall together about once in 10^13 pairs.
 
 Defined results: null text or text without words has an empty set, n_shingles 0, and is linked with nothing; fewer
-than five words are one shingle; equal rows are in one component; an empty table gives no rows.
+than five words are one shingle; equal rows are in one component; rows with a null doc_id are linked like any other,
+and a component of such rows alone has a null component_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcrawl.llm.common import Recent, input_bytes, kept, map_batches, slices, spread_keys, stored, table
+from loomcrawl.llm.common import Recent, discard, input_bytes, kept, map_batches, slices, spread_keys, stored, table
 from loomcrawl.llm.components import components
 
 WORDS = 5
@@ -47,6 +48,8 @@ MOST_LIGHT = 64
 #: Distinct words a task keeps, numbers it holds before it deals them out, bytes dealt to a partition, members of a block
 #: of a group.
 CACHE, HELD, PART_BYTES, BLOCK = 200_000, 1 << 20, 32 << 20, 512
+#: Pieces of a Bloom filter, united each in a place of its own.
+PIECES = 16
 #: Size codes: 256 a doubling; sizes that fit differ by at most RATIO codes.
 _CODE, RATIO = 256, 107
 _U = np.uint64
@@ -133,11 +136,13 @@ def _unpacked(column: pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist() if x]
 
 
-_SCAN = "kind int, doc_id long, n long, key long"
+#: row: a hash of the text, which with the doc_id tells rows apart.
+_SCAN = "kind int, doc_id long, row long, n long, key long"
+_SCANNED = ["kind", "doc_id", "row", "n", "key"]
 
 
 def scan(docs: DataFrame, parts: list[int]) -> DataFrame:
-    """Of every row doc_id, n, key (kind 0; null key: empty set); of frequent shingles 32 bits and count (kind 1: key, n)."""
+    """Of every row doc_id, row, n, key (kind 0; null key: empty set); of frequent shingles 32 bits and count (kind 1: key, n)."""
     counted, n_parts = _U(int(COUNTED * 2**32)), len(parts)
 
     def run(batches):
@@ -146,7 +151,7 @@ def scan(docs: DataFrame, parts: list[int]) -> DataFrame:
         def told():
             part, [data] = dealer.dealt(lambda x: (_mix(x.astype(_U)) % _U(n_parts)).astype(np.int64))
             k = len(part)
-            return pa.RecordBatch.from_arrays([part, pa.array([1] * k, pa.int32()), *[pa.nulls(k, pa.int64())] * 3, data], names=["part", "kind", "doc_id", "n", "key", "data"])
+            return pa.RecordBatch.from_arrays([part, pa.array([1] * k, pa.int32()), *[pa.nulls(k, pa.int64())] * 4, data], names=["part", *_SCANNED, "data"])
 
         for b in slices(batches):
             ns, keys = [], []
@@ -161,22 +166,22 @@ def scan(docs: DataFrame, parts: list[int]) -> DataFrame:
             if dealer.full():
                 yield told()
             part = dealer.keys.take(pa.array((_mix(np.array(ns, _U) * _U(977) + np.arange(len(ns), dtype=_U)) % _U(n_parts)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part, pa.array([0] * b.num_rows, pa.int32()), b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names=["part", "kind", "doc_id", "n", "key", "data"])
+            yield pa.RecordBatch.from_arrays([part, pa.array([0] * b.num_rows, pa.int32()), b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names=["part", *_SCANNED, "data"])
         if dealer.size:
             yield told()
 
     def count(batches):
         own = []
         for b in batches:
-            own += _unpacked(b.column(5), np.uint32)
+            own += _unpacked(b.column(6), np.uint32)
             b = b.filter(pa.compute.equal(b.column(1), 0))
-            yield pa.RecordBatch.from_arrays(b.columns[1:5], names=["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays(b.columns[1:6], names=_SCANNED)
         if own:
             h, n = np.unique(np.concatenate(own), return_counts=True)
             h, n = h[n >= OFTEN].astype(np.int64), n[n >= OFTEN].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h)], names=["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), *[pa.nulls(len(h), pa.int64())] * 2, pa.array(n), pa.array(h)], names=_SCANNED)
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"part int, {_SCAN}, data binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"part int, {_SCAN}, data binary")
     return rows.repartition(len(parts), "part").mapInArrow(count, _SCAN)
 
 
@@ -303,21 +308,32 @@ def grouped(members: DataFrame) -> DataFrame:
 
 
 def filter_of(ids: DataFrame) -> bytes:
-    """A Bloom filter over a long column: ten bits an id, 128 KB to 32 MB (past it more rows pass, none is missed)."""
+    """A Bloom filter over a long column: ten bits an id, 128 KB to 32 MB (past it more rows pass, none is missed).
+
+    Tasks build filters of their own, whose pieces are united on the executors; the driver gets each piece once.
+    """
     bits = 1 << max(20, min(28, (10 * ids.count()).bit_length()))
+    piece = bits // 8 // PIECES
 
     def build(batches):
         found = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            for place in _places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
+            for place in _places(b.column(0).to_numpy(zero_copy_only=False), bits):
                 np.bitwise_or.at(found, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([found[k * piece : (k + 1) * piece].tobytes() for k in range(PIECES)], pa.binary())], names=["piece", "bits"])
+
+    def unite(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint8)
+                total[k] = total[k] | x if k in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "bits"])
 
-    some = ids.coalesce(8).mapInArrow(build, "bits binary")
-    total = np.zeros(bits // 8, np.uint8)
-    for r in some.collect():  # eight rows of one fixed size
-        total |= np.frombuffer(r.bits, np.uint8)
-    return total.tobytes()
+    some = ids.where(ids[ids.columns[0]].isNotNull()).coalesce(8).mapInArrow(build, "piece int, bits binary")
+    rows = some.repartition(PIECES, "piece").mapInArrow(unite, "piece int, bits binary").collect()
+    return b"".join(r.bits for r in sorted(rows, key=lambda r: r.piece)) if rows else bytes(bits // 8)
 
 
 def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -333,14 +349,14 @@ def passes(found: bytes, ids: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, found: bytes) -> DataFrame:
-    """key and shingles (packed) of the rows whose doc_id passes the filter, once a task and key."""
+    """key and shingles (packed) of the rows whose doc_id is null or passes the filter, once a task and key."""
 
     def make():
         shingler, seen = kept("shingler", 0, Shingler), set()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = b.column(0).cast(pa.int64())
-            inside = passes(found, ids.fill_null(0).to_numpy(zero_copy_only=False))
+            ids = b.column(0)
+            inside = passes(found, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
             keys, data = [], []
             for t in b.column(1).filter(pa.array(inside)).to_pylist():
                 x = shingler(t)
@@ -432,28 +448,38 @@ def links_in(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, label: str = "jaccard") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
+def classified(docs: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, row (hash of the text), n and key (of the set; null: empty) of every row of docs; node and root of linked keys."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told, _ = stored(spark, scan(docs, spread_keys(spark, max(at_least, input_bytes(docs) // PART_BYTES))), f"{label}-scan")
-    ids = told.where("kind = 0").select("doc_id", "n", "key")
+    ids = told.where("kind = 0").select("doc_id", "row", "n", "key")
     often = told.where("kind = 1").select("key", "n")
     classes = ids.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total, prefixes = classes.agg(F.sum("n"), F.sum(F.ceil(F.col("n") / 4) + 1)).first()
     if not total:
-        return ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return ids, None
     top = often.orderBy(F.col("n").desc(), "key").limit(HEAVY).collect()
     order = Order(np.array([r.key for r in top], np.int64), np.array([r.n for r in top], np.int64))
     light = boundary(1 + sum(r.n * (r.n - 1) for r in top) / (COUNTED * total))
     parts = max(at_least, math.ceil(int(prefixes) * 16 / PART_BYTES))
-    found, _ = stored(spark, lists(dealt(docs, order, light, spread_keys(spark, parts)), parts), f"{label}-lists")
-    groups, _ = stored(spark, grouped(found), f"{label}-groups")
+    found, found_at = stored(spark, lists(dealt(docs, order, light, spread_keys(spark, parts)), parts), f"{label}-lists")
+    groups, groups_at = stored(spark, grouped(found), f"{label}-groups")
+    discard(spark, found_at)
     reps = classes.join(groups.select(F.col("member").alias("key")).distinct(), "key", "left_semi").select("rep")
     links, _ = stored(spark, links_in(groups, sets_of(docs, filter_of(reps))), f"{label}-links")
-    roots = components(spark, links, f"{label}-round")
-    rooted = classes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    discard(spark, groups_at)
+    return ids, components(spark, links, f"{label}-round")
+
+
+def similar(docs: DataFrame, label: str = "jaccard") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text)."""
+    ids, roots = classified(docs, label)
+    if roots is None:
+        return ids.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    classes = ids.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
+    rooted = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_key = rooted.join(least, "root").select(F.col("key").alias("k"), "component_id")
     return ids.join(of_key, F.col("key") == F.col("k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -465,12 +491,25 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id (rows without words all stay).
+    """Pipeline stage: exactly one row of each component stays, that with the smallest doc_id (nulls last).
 
-    Rows that repeat that doc_id stay as they are; a null doc_id is never dropped.
+    Among texts that share this doc_id the one with the smallest hash stays, among equal rows any one; rows without words
+    all stay.
     """
-    ids = similar(docs, "pipeline-jaccard").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(ids, docs.doc_id == ids.dropped, "left_anti").select(*docs.columns)
+    ids, roots = classified(docs, "pipeline-jaccard")
+    if roots is None:
+        return docs
+    counted = ids.where(F.col("key").isNotNull()).groupBy("key", "doc_id", "row").agg(F.count("*").alias("copies"))
+    pairs = counted.join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "doc_id", "row", "copies")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = pairs.groupBy("root").agg(F.min(first).alias("best")).withColumnRenamed("root", "of")
+    judged, _ = stored(docs.sparkSession, pairs.join(best, F.col("root") == F.col("of")).select(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), "copies", first.eqNullSafe(F.col("best")).alias("stays")).where(~F.col("stays") | (F.col("copies") > 1)), "pipeline-judged")
+    own = F.xxhash64("text")
+    same = docs.doc_id.cast("long").eqNullSafe(judged.of_id) & (own == judged.of_row)
+    single = docs.join(judged, same, "left_anti").select(*docs.columns)
+    # Rows that are kept but repeated, mostly few: one of each.
+    repeated = docs.join(judged.where("stays"), same, "left_semi").withColumn("_row", own).dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    return single.unionByName(repeated)
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
