@@ -31,7 +31,7 @@ UNKNOWN = "und"
 PER_LANGUAGE, LANGUAGES, SEGMENTS, SEGMENT = 250, 200, 6, 32
 BUCKETS, LEXICON = 1 << 16, 400
 #: Words of one forward-backward run over many texts, and distinct words that a task keeps.
-RUN_WORDS, CACHE = 800_000, 200_000
+RUN_WORDS, CACHE = 400_000, 200_000
 #: A text under this share of words in its best language has no clear one (pipeline).
 LEAST = 0.35
 PIECE = 40
@@ -262,7 +262,7 @@ def _grouped(model: Model, texts: list[str]):
         yield place, held, [model.places(w) for w in held]
 
 
-def _slices(texts: list[str], chars: int = 6_000_000):
+def _slices(texts: list[str], chars: int = 3_000_000):
     """Index ranges of texts with about so many characters each: bounds what is split into words at once."""
     first, size = 0, 0
     for i, t in enumerate(texts):
