@@ -513,4 +513,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([concat_ws(' ', x[1], x[2], x[3], x[4], x[5]) for x in list_zip(w, w[2:], w[3:], w[4:], w[5:], true)]) END AS sh FROM words),
+keyed AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), chr(10))) AS key, sh FROM sets),
+classes AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(sh) AS sh FROM keyed WHERE n > 0 GROUP BY key),
+entries AS (SELECT key, n, unnest([hash(x) for x in sh]) AS s FROM classes),
+links AS (
+  SELECT a.key AS x, b.key AS y FROM entries a JOIN entries b ON a.s = b.s AND a.key < b.key AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.key, b.key, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(key, other) AS (SELECT key, key FROM classes UNION SELECT r.key, e.y FROM reach r JOIN edges e ON r.other = e.x),
+roots AS (SELECT r.key, min(c.rep) AS component_id FROM reach r JOIN classes c ON r.other = c.key GROUP BY r.key)
+SELECT k.doc_id AS doc_id, k.n AS n_shingles, coalesce(r.component_id, k.doc_id) AS component_id FROM keyed k LEFT JOIN roots r ON k.key = r.key AND k.n > 0
+"""
+}
