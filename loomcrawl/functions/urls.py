@@ -15,6 +15,11 @@ def with_scheme(url: Column) -> Column:
     return F.when(u.rlike("^(?i)https?://"), u).otherwise(F.concat(F.lit("https://"), u))
 
 
+def netloc(url: Column) -> Column:
+    """What stands between the scheme and the path, as written; empty without a scheme."""
+    return F.regexp_extract(url, _HOST, 1)
+
+
 def host(url: Column) -> Column:
     """Lower-case network location without www. and the default ports."""
     h = F.lower(F.regexp_extract(url, _HOST, 1))

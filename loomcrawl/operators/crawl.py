@@ -31,10 +31,21 @@ def over_rate(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     return events.withColumn("w", bucket(F.col("ts"), seconds)).withColumn("n", place).where(F.col("n") > limit)
 
 
+def micros(seconds: Column) -> Column:
+    """Seconds as whole microseconds, negative ones and nulls as none."""
+    return F.round(F.greatest(F.coalesce(seconds, F.lit(0.0)), F.lit(0.0)) * 1_000_000).cast("long")
+
+
+def mean_seconds(total: Column, n: Column) -> Column:
+    """The mean of whole microseconds, rounded half up in whole numbers, in seconds: no order of addition changes it."""
+    return F.floor((total * 2 + n) / (n * 2)).cast("double") / 1_000_000
+
+
 def running(events: DataFrame) -> DataFrame:
     """Requests, successes and mean response time of the domain so far, the event included."""
     w = Window.partitionBy("domain").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("domain", "id", F.count("*").over(w).alias("requests"), F.sum(F.col("ok").cast("int")).over(w).alias("successes"), F.round(F.sum(F.when(F.col("seconds") > 0, F.col("seconds")).otherwise(0.0)).over(w) / F.count("*").over(w), 6).alias("avg_response"))
+    n = F.count("*").over(w)
+    return events.select("domain", "id", n.alias("requests"), F.sum(F.col("ok").cast("int")).over(w).alias("successes"), mean_seconds(F.sum(micros(F.col("seconds"))).over(w), n).alias("avg_response"))
 
 
 def adaptive_delay(events: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomcrawl.functions import html, text, urls
 
 K1, B = 1.2, 0.75
+#: Buckets of postings, words a fuzzy term may stand for, characters of a result's content, results of a page.
+BUCKETS, EXPANSIONS, MOST_SHOWN, MOST_SIZE = 64, 50, 500, 100
 MOST_CONTENT, MOST_TITLE, MOST_DESCRIPTION, MOST_KEYWORDS = 1_000_000, 200, 500, 20
 
 
@@ -61,11 +63,23 @@ class SearchRequest:
     query: str = ""
     filters: dict[str, list[str]] = field(default_factory=dict)
     min_quality: float | None = None
+    crawled: tuple[str | None, str | None] = (None, None)
     sort: str = "relevance"
     page: int = 1
     size: int = 10
     fuzzy: bool = False
-    fields: tuple[tuple[str, float], ...] = (("title", 3.0), ("description", 2.0), ("content", 1.0))
+    fields: tuple[tuple[str, float], ...] = (("title", 3.0), ("description", 2.0), ("content", 1.0), ("keywords", 1.5))
+
+    @staticmethod
+    def parsed(given: dict[str, str]) -> SearchRequest:
+        """A request from string parameters: comma lists become filters, page and size are at least 1, size at most MOST_SIZE."""
+        several = {"domains": "domain", "languages": "language", "content_types": "content_type"}
+        filters = {column: values for name, column in several.items() if (values := [v.strip() for v in given.get(name, "").split(",") if v.strip()])}
+        least = given.get("min_quality", "").strip()
+        return SearchRequest(
+            given.get("q", "").strip(), filters, float(least) if least else None, (given.get("date_from") or None, given.get("date_to") or None),
+            given.get("sort_by", "relevance"), max(1, int(given.get("page", 1))), min(MOST_SIZE, max(1, int(given.get("size", 10)))), given.get("fuzzy", "").lower() in ("1", "true", "yes"),
+        )
 
 
 def terms_of(query: str) -> list[str]:
@@ -79,65 +93,133 @@ def edits(term: str) -> int:
 
 
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """field, id, term, tf, dl: the inverted index; written once, it serves all queries."""
-    parts = [docs.select(F.lit(f).alias("field"), "id", text.letters(F.col(f)).alias("w")) for f in fields]
+    """field, id, dl, term, tf: the inverted index."""
+    parts = [docs.select(F.lit(f).alias("field"), "id", text.letters(_searched(docs, f)).alias("w")) for f in fields]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     return rows.select("field", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("field", "id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def matches(term: str, fuzzy: bool):
-    """Whether a word is the term, or with fuzzy within its allowed edits."""
-    if fuzzy and edits(term):
-        return lambda x: (x == F.lit(term)) | (F.levenshtein(x, F.lit(term)) <= edits(term))
-    return lambda x: x == F.lit(term)
+def _searched(docs: DataFrame, name: str) -> Column:
+    """A field as text; an array's values in a row."""
+    return F.array_join(name, " ") if docs.schema[name].dataType.typeName() == "array" else F.col(name)
+
+
+def transposed(word: str) -> list[str]:
+    """The word with each two neighbours exchanged."""
+    return list(dict.fromkeys(word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1) if word[i] != word[i + 1]))
 
 
-def scores(docs: DataFrame, request: SearchRequest) -> DataFrame:
-    """id, score of the documents one of whose fields holds all terms: the best field's boosted BM25 sum.
+def distance(x: Column, term: str) -> Column:
+    """Edits from a word to the term, exact up to two: insertions, deletions, changes, exchanges of neighbours."""
+    once = transposed(term)
+    twice = sorted({w for t in once for w in transposed(t)} - {term})
+    best = [F.levenshtein(x, F.lit(term)), *[F.levenshtein(x, F.lit(t)) + 1 for t in once]]
+    # An exchange of neighbours that an insertion or deletion brought together: seen from the word's side.
+    turned = lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.lit(1)), F.substr(x, i, F.lit(1)), F.substr(x, i + 2))
+    best.append(F.when(F.length(x) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.levenshtein(turned(i), F.lit(term)))) + 1).otherwise(len(term) + 2))
+    if twice:
+        best.append(F.when(x.isin(*twice), 2).otherwise(len(term) + 2))
+    return F.least(*best)
+
+
+@dataclass
+class Index:
+    """A written index: postings by a bucket of the term's hash, the documents, each field's size and the vocabulary.
 
-    Terms are matched inside each document's own word array before anything is shuffled: what moves is a row per
-    matching document and term, and the corpus statistics are one aggregate.
+    A request reads the postings of its terms' buckets alone, whose statistics hold the terms next to each other.
     """
-    terms = terms_of(request.query)
-    boosts = dict(request.fields)
-    if not terms:
-        return docs.select("id", F.lit(1.0).alias("score"))
-    out = None
-    for name, boost in boosts.items():
-        if name not in docs.columns:
-            continue
-        w = docs.select("id", text.letters(F.col(name)).alias("w")).withColumn("dl", F.size("w"))
-        tf = w.select("id", "dl", *[F.size(F.filter("w", matches(t, request.fuzzy))).alias(f"tf{k}") for k, t in enumerate(terms)])
-        stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-        hit = tf.where(" and ".join(f"tf{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats))
+
+    spark: SparkSession
+    path: str
+
+    @staticmethod
+    def write(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title", "description", "content", "keywords")) -> Index:
+        """Writes docs (id and others) and their index below path."""
+        own = [f for f in fields if f in docs.columns]
+        docs.write.parquet(f"{path}/docs")
+        stored = docs.sparkSession.read.parquet(f"{path}/docs")
+        rows = postings(stored, own).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        sizes = [F.avg(F.size(text.letters(_searched(stored, f)))).alias(f) for f in own]
+        stored.agg(F.count("*").alias("n"), *sizes).select("n", F.explode(F.create_map(*[x for f in own for x in (F.lit(f), F.col(f))])).alias("field", "avgdl")).write.parquet(f"{path}/fields")
+        index = Index(docs.sparkSession, path)
+        index.table("postings").groupBy("term").agg(F.count("*").alias("n")).select("term").write.parquet(f"{path}/terms")
+        return index
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def expanded(self, term: str, fuzzy: bool) -> list[str]:
+        """The words that stand for a term: with fuzzy those within its edits, the nearest EXPANSIONS."""
+        if not fuzzy or not edits(term):
+            return [term]
+        near = self.table("terms").withColumn("d", distance(F.col("term"), term)).where(F.col("d") <= edits(term))
+        return [r.term for r in near.orderBy("d", "term").limit(EXPANSIONS).collect()]
+
+    def scores(self, request: SearchRequest) -> DataFrame:
+        """id, score of the documents one of whose fields holds all terms: the best field's boosted BM25 sum."""
+        terms = terms_of(request.query)
+        if not terms:
+            return self.table("docs").select("id", F.lit(1.0).alias("score"))
+        words = [self.expanded(t, request.fuzzy) for t in terms]
+        every = sorted({w for own in words for w in own})
+        buckets = [r.b for r in self.spark.createDataFrame([(w,) for w in every], "w string").select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()] if every else []
+        boosts = dict(request.fields)
+        rows = self.table("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(every) & F.col("field").isin(*boosts)) if every else self.table("postings").where("false")
+        own = lambda k: F.sum(F.when(F.col("term").isin(words[k]), F.col("tf"))) if words[k] else F.lit(None).cast("long")
+        found = rows.groupBy("field", "id").agg(F.first("dl").alias("dl"), *[own(k).alias(f"tf{k}") for k in range(len(terms))])
+        df = found.groupBy("field").agg(*[F.count(f"tf{k}").alias(f"df{k}") for k in range(len(terms))])
+        hit = found.where(" and ".join(f"tf{k} is not null" for k in range(len(terms)))).join(F.broadcast(df), "field").join(F.broadcast(self.table("fields")), "field")
         total = F.lit(0.0)
         for k in range(len(terms)):
             idf = F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
             total = total + idf * F.col(f"tf{k}") / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        part = hit.select("id", (F.lit(boost) * total).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("id").agg(F.max("score").alias("score"))
+        boost = F.create_map(*[x for f, b in boosts.items() for x in (F.lit(f), F.lit(b))])[F.col("field")]
+        return hit.groupBy("id").agg(F.max(boost * total).alias("score"))
+
+    def hits(self, request: SearchRequest) -> DataFrame:
+        """Documents that match, with score: statistics are the whole corpus's, filters don't change them."""
+        return filtered(self.table("docs"), request).join(self.scores(request), "id")
+
+    def search(self, request: SearchRequest) -> DataFrame:
+        """A page of hits."""
+        order = {"date": F.col("crawled_at").desc() if request.sort == "date" else None, "quality": F.col("quality_score").desc()}.get(request.sort, F.col("score").desc())
+        return self.hits(request).orderBy(order, "id").offset((request.page - 1) * request.size).limit(request.size)
+
+    def respond(self, request: SearchRequest, columns: tuple[str, ...]) -> DataFrame:
+        """The page as a caller gets it: rank, columns (content cut for display), score, total_hits, total_pages."""
+        found = self.search(request)
+        order = {"date": F.col("crawled_at").desc() if request.sort == "date" else None, "quality": F.col("quality_score").desc()}.get(request.sort, F.col("score").desc())
+        total = self.hits(request).agg(F.count("*").alias("total_hits"))
+        shown = [cut(F.col(c), MOST_SHOWN).alias(c) if c == "content" else F.col(c) for c in columns]
+        ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(order, "id")) + (request.page - 1) * request.size)  # one page's rows
+        pages = F.ceil(F.col("total_hits") / request.size).cast("long").alias("total_pages")
+        return ranked.crossJoin(F.broadcast(total)).select(F.col("rank").cast("long").alias("rank"), *shown, "score", "total_hits", pages)
+
+    def by_hash(self, content_hash: str) -> DataFrame:
+        """The documents with this content."""
+        return self.table("docs").where(F.sha2("content", 256) == content_hash)
+
+    def stats(self) -> DataFrame:
+        """documents, terms, postings, bytes of the index's files."""
+        count = lambda name: self.table(name).agg(F.count("*").alias(name))
+        size = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path).agg(F.sum("length").alias("bytes"))
+        return count("docs").crossJoin(count("terms")).crossJoin(count("postings")).crossJoin(size)
 
 
 def filtered(docs: DataFrame, request: SearchRequest) -> DataFrame:
     for name, values in request.filters.items():
         docs = docs.where(F.col(name).isin(*values))
+    lo, hi = request.crawled
+    if lo is not None:
+        docs = docs.where(F.col("crawled_at") >= F.lit(lo).cast("timestamp"))
+    if hi is not None:
+        docs = docs.where(F.col("crawled_at") <= F.lit(hi).cast("timestamp"))
     return docs if request.min_quality is None else docs.where(F.col("quality_score") >= request.min_quality)
 
 
-def hits(docs: DataFrame, request: SearchRequest) -> DataFrame:
-    """Documents that match, with score: statistics are the whole corpus's, filters don't change them."""
-    return filtered(docs, request).join(scores(docs, request), "id")
-
-
-def search(docs: DataFrame, request: SearchRequest) -> DataFrame:
-    """A page of hits."""
-    order = {"date": F.col("crawled_at").desc(), "quality": F.col("quality_score").desc()}.get(request.sort, F.col("score").desc())
-    return hits(docs, request).orderBy(order, "id").offset((request.page - 1) * request.size).limit(request.size)
-
-
 def facet(found: DataFrame, name: str, n: int) -> DataFrame:
     return found.groupBy(F.col(name).alias("key")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "key").limit(n)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomcrawl.functions import extract, html, text, urls
 from loomcrawl.functions.fixed import BLOG, DOCUMENTATION, IGNORED_EXTENSIONS, LANGUAGE_WORDS, LINK_EXTENSIONS, LINK_HOSTS, NEWS, PRODUCT, STOP_WORDS, TRACKING_KEYS
-from loomcrawl.operators import crawl, frontier, index
+from loomcrawl.operators import crawl, frontier, index, service
+from loomcrawl.sources.shared import shared_path
 from loomcrawl.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,7 +162,7 @@ def politeness_gate(spark, sf):
     return crawl.gate(_events(spark, sf), 600.0, 1).select("id", "reason", F.col("wait").cast("double").alias("wait"))
 
 
-@query(f"WITH {_E} SELECT domain, id, count(*) OVER w AS requests, CAST(sum(ok::INT) OVER w AS BIGINT) AS successes, round(sum(CASE WHEN seconds > 0 THEN seconds ELSE 0 END) OVER w / count(*) OVER w, 6) AS avg_response FROM e WINDOW w AS (PARTITION BY domain ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
+@query(f"WITH {_E} SELECT domain, id, count(*) OVER w AS requests, CAST(sum(ok::INT) OVER w AS BIGINT) AS successes, (((2 * sum(CAST(round(greatest(seconds, 0) * 1000000) AS BIGINT)) OVER w + count(*) OVER w) // (2 * count(*) OVER w))::DOUBLE / 1000000) AS avg_response FROM e WINDOW w AS (PARTITION BY domain ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
 def domain_running_stats(spark, sf):
     return crawl.running(_events(spark, sf))
 
@@ -338,35 +339,47 @@ def _bm25(terms: tuple[str, ...]) -> str:
     return f"{_INDEXED}, {', '.join(ins)}, sc AS (SELECT doc_id, max(score) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY doc_id)"
 
 
+_INDEXES: dict[tuple[str, str], index.Index] = {}
+
+
+def _search_index(spark, sf) -> index.Index:
+    """The index of documents, written once a session and data set. A document's day stands for when it was crawled."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        day = F.timestamp_seconds(F.lit(1704067200) + F.pmod("doc_id", F.lit(60)) * 86400)
+        _INDEXES[key] = index.Index.write(_indexed(spark, sf).withColumn("crawled_at", day), shared_path(spark, "search-index"))
+    return _INDEXES[key]
+
+
 @query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 50")
 def search_bm25(spark, sf):
-    return index.search(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS), size=50)).select("doc_id", F.round("score", 6).alias("score"))
+    return _search_index(spark, sf).search(index.SearchRequest(" ".join(_BM25_TERMS), size=50)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, round(score, 6) AS score FROM sc JOIN ix USING (doc_id) WHERE lang IN ('en') AND source IN ('src1', 'src2') AND quality_score >= 30")
 def search_filtered(spark, sf):
     r = index.SearchRequest(" ".join(_BM25_TERMS), filters={"lang": ["en"], "source": ["src1", "src2"]}, min_quality=30)
-    return index.hits(_indexed(spark, sf), r).select("doc_id", F.round("score", 6).alias("score"))
+    return _search_index(spark, sf).hits(r).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, quality_score FROM sc JOIN ix USING (doc_id) ORDER BY quality_score DESC, doc_id LIMIT 20")
 def search_sorted_quality(spark, sf):
-    return index.search(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS), sort="quality", size=20)).select("doc_id", "quality_score")
+    return _search_index(spark, sf).search(index.SearchRequest(" ".join(_BM25_TERMS), sort="quality", size=20)).select("doc_id", "quality_score")
 
 
 @query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20")
 def search_paged(spark, sf):
-    return index.search(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS), page=3, size=10)).select("doc_id")
+    return _search_index(spark, sf).search(index.SearchRequest(" ".join(_BM25_TERMS), page=3, size=10)).select("doc_id")
 
 
 @query(f"WITH {_bm25(_BM25_TERMS)} SELECT source AS key, count(*) AS n FROM sc JOIN ix USING (doc_id) GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
 def facet_terms(spark, sf):
-    return index.facet(index.hits(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS))), "source", 10)
+    return index.facet(_search_index(spark, sf).hits(index.SearchRequest(" ".join(_BM25_TERMS))), "source", 10)
 
 
 @query(f"WITH {_bm25(_BM25_TERMS)}, b AS (SELECT CASE WHEN quality_score < 25 THEN 'low' WHEN quality_score < 50 THEN 'medium' WHEN quality_score < 75 THEN 'good' WHEN quality_score < 100 THEN 'excellent' END AS key FROM sc JOIN ix USING (doc_id)) SELECT l.key, count(b.key) AS n FROM (VALUES ('low'), ('medium'), ('good'), ('excellent')) l(key) LEFT JOIN b ON b.key = l.key GROUP BY 1")
 def facet_quality_ranges(spark, sf):
-    return index.quality_ranges(index.hits(_indexed(spark, sf), index.SearchRequest(" ".join(_BM25_TERMS))))
+    return index.quality_ranges(_search_index(spark, sf).hits(index.SearchRequest(" ".join(_BM25_TERMS))))
 
 
 @query("SELECT DISTINCT title FROM (SELECT left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 200) AS title FROM pages) WHERE starts_with(lower(title), 'th') ORDER BY title LIMIT 20")
@@ -391,10 +404,107 @@ def fuzzy_url_dedup(spark, sf):
     return frontier.fuzzy_matches(known.select("domain", "normalized_url"), known)
 
 
-@query()
+def _fuzzy_bm25(terms: tuple[str, ...]) -> str:
+    """As _bm25, a term standing for the 50 nearest words within its edits."""
+    ins = [f"w_{f} AS (SELECT doc_id, regexp_extract_all(lower({c}), '(\\p{{L}}+)') AS w FROM c)" for f, c in (("title", _DTITLE), ("content", "t"))]
+    ins.append("vocabulary AS (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM w_title UNION ALL SELECT w FROM w_content))")
+    for k, t in enumerate(terms):
+        ins.append(f"x{k} AS (SELECT list(word) AS own{k} FROM (SELECT word FROM vocabulary WHERE damerau_levenshtein(word, '{t}') <= {index.edits(t)} ORDER BY damerau_levenshtein(word, '{t}'), word LIMIT 50))")
+    parts = []
+    for f, boost in (("title", 3.0), ("content", 1.0)):
+        tf = ", ".join(f"len(list_filter(w, lambda x: list_contains(own{k}, x))) AS tf{k}" for k in range(len(terms)))
+        words = ", ".join([f"w_{f}", *[f"x{k}" for k in range(len(terms))]])
+        ins.append(f"t_{f} AS (SELECT doc_id, len(w) AS dl, {tf} FROM {words}), s_{f} AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{k} > 0) AS df{k}' for k in range(len(terms)))} FROM t_{f})")
+        total = " + ".join(f"ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(terms)))
+        parts.append(f"SELECT doc_id, {boost} * ({total}) AS score FROM t_{f}, s_{f} WHERE {' AND '.join(f'tf{k} > 0' for k in range(len(terms)))}")
+    return f"{_INDEXED}, {', '.join(ins)}, sc AS (SELECT doc_id, max(score) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY doc_id)"
+
+
+_DAY = "(TIMESTAMP '2024-01-01' + to_days(CAST(((doc_id % 60) + 60) % 60 AS INTEGER)))"
+
+
+@query(f"WITH {_fuzzy_bm25(('that', 'from'))} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 50")
 def search_fuzzy(spark, sf):
     """As search_bm25, with one edit allowed in terms of three to five letters and two in longer ones."""
-    return index.search(_indexed(spark, sf), index.SearchRequest("that from", fuzzy=True, size=50)).select("doc_id", F.round("score", 6).alias("score"))
+    return _search_index(spark, sf).search(index.SearchRequest("that from", fuzzy=True, size=50)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25(_BM25_TERMS)} SELECT doc_id, {_DAY} AS crawled_at FROM sc JOIN ix USING (doc_id) WHERE {_DAY} BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY crawled_at DESC, doc_id LIMIT 30")
+def search_date(spark, sf):
+    """The newest first, of a range of days (its ends included)."""
+    r = index.SearchRequest(" ".join(_BM25_TERMS), crawled=("2024-01-05", "2024-01-20"), sort="date", size=30)
+    return _search_index(spark, sf).search(r).select("doc_id", F.col("crawled_at").cast("timestamp_ntz").alias("crawled_at"))
+
+
+@query(f"""WITH {_bm25(_BM25_TERMS)}, f AS (SELECT * FROM sc JOIN ix USING (doc_id) WHERE lang IN ('en', 'fr') AND quality_score >= 20),
+n AS (SELECT count(*) AS total_hits FROM f), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT rank, doc_id, title, CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END AS content, lang AS language, source AS domain, quality_score, round(score, 6) AS score, total_hits, (total_hits + 9) // 10 AS total_pages
+FROM p, n WHERE rank BETWEEN 11 AND 20""")
+def search_response(spark, sf):
+    """The second page of ten as a caller gets it."""
+    r = index.SearchRequest(" ".join(_BM25_TERMS), filters={"lang": ["en", "fr"]}, min_quality=20, page=2)
+    out = _search_index(spark, sf).respond(r, ("doc_id", "title", "content", "lang", "source", "quality_score"))
+    return out.select("rank", "doc_id", "title", "content", F.col("lang").alias("language"), F.col("source").alias("domain"), "quality_score", F.round("score", 6).alias("score"), "total_hits", "total_pages")
+
+
+@query("SELECT doc_id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 1)")
+def content_by_hash(spark, sf):
+    """All documents with the content of the first one, asked for by its hash."""
+    first = _docs(spark, sf).where("text is not null").orderBy("doc_id").select(F.sha2("text", 256).alias("h")).first()
+    return _search_index(spark, sf).by_hash(first.h if first else "").select("doc_id")
+
+
+@query(f"""WITH {_counts("coalesce(text, '')", "documents", "doc_id, source, lang, text")}, k AS (SELECT doc_id, source, lang, {_type('t', _DTITLE)} AS content_type FROM r),
+e AS (SELECT 'source' AS facet, source AS key FROM k UNION ALL SELECT 'lang', lang FROM k UNION ALL SELECT 'content_type', content_type FROM k), g AS (SELECT facet, key, count(*) AS n FROM e WHERE key IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, key) AS rank FROM g) SELECT facet, key, n, rank FROM w WHERE rank <= CASE WHEN facet = 'source' THEN 10 ELSE 20 END""")
+def analytics_terms(spark, sf):
+    d = _docs(spark, sf).select("source", "lang", text.content_type(F.col("text"), _title()).alias("content_type"))
+    return service.analytics(d, {"source": 10, "lang": 20, "content_type": 20})
+
+
+@query(f"""WITH {_counts(_PLAIN, "pages", f"page_id, url, html, {_TITLE} AS title")},
+q AS (SELECT *, {_WS.format(t="lower(t)")} AS w, CASE WHEN length(coalesce(html, '')) < 100 THEN 'Content too short or empty' WHEN length(coalesce(t, '')) < 100 THEN 'No meaningful content extracted' END AS error FROM r),
+l AS (SELECT *, {_LANG}, round({_quality("title")}, 4)::DOUBLE AS quality FROM q)
+SELECT page_id, url, error IS NULL AS success, error, CASE WHEN error IS NULL THEN sha256(t) END AS content_hash, CASE WHEN error IS NULL THEN characters END AS character_count, CASE WHEN error IS NULL THEN words END AS word_count, CASE WHEN error IS NULL THEN quality END AS quality_score,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN greatest(de, en, es, fr) = 0 THEN 'unknown' WHEN greatest(de, en, es, fr) = de THEN 'de' WHEN greatest(de, en, es, fr) = en THEN 'en' WHEN greatest(de, en, es, fr) = es THEN 'es' ELSE 'fr' END AS detected_language,
+ CASE WHEN error IS NULL THEN {_type('t', 'title')} END AS content_type FROM l""")
+def process_content(spark, sf):
+    """Every page as processed, with its error or its analysis (link counts are in link_docs)."""
+    return service.process_pages(_pages(spark, sf)).drop("links_count", "internal_links", "external_links")
+
+
+_ANALYSED = f"""{_counts("coalesce(text, '')", "documents", "doc_id, text")}, q AS (SELECT *, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) >= 50 AS ok, {_WS.format(t="lower(t)")} AS w FROM r),
+l AS (SELECT *, {_LANG}, CASE WHEN ok THEN round({_quality(_DTITLE)}, 4)::DOUBLE ELSE 0 END AS quality_score FROM q)"""
+
+
+@query(f"""WITH {_ANALYSED}
+SELECT doc_id, CASE WHEN ok THEN characters ELSE 0 END AS character_count, CASE WHEN ok THEN words ELSE 0 END AS word_count, CASE WHEN ok THEN sentences ELSE 0 END AS sentence_count, CASE WHEN ok THEN paragraphs ELSE 0 END AS paragraph_count,
+ CASE WHEN ok THEN round(ease, 6) ELSE 0 END AS flesch_reading_ease, CASE WHEN ok THEN round(grade, 6) ELSE 0 END AS flesch_kincaid_grade, CASE WHEN ok THEN round(ari, 6) ELSE 0 END AS automated_readability_index, CASE WHEN ok THEN round(words / 200.0, 6)::DOUBLE ELSE 0 END AS reading_time_minutes,
+ CASE WHEN NOT ok OR greatest(de, en, es, fr) = 0 THEN 'unknown' WHEN greatest(de, en, es, fr) = de THEN 'de' WHEN greatest(de, en, es, fr) = en THEN 'en' WHEN greatest(de, en, es, fr) = es THEN 'es' ELSE 'fr' END AS detected_language,
+ CASE WHEN NOT ok OR greatest(de, en, es, fr) = 0 THEN 0.0 ELSE 0.8 END::DOUBLE AS language_confidence, quality_score, CASE WHEN ok THEN {_type('t', _DTITLE)} ELSE 'unknown' END AS content_type FROM l""")
+def doc_analysis(spark, sf):
+    """The whole analysis of every document; empty for texts of under 50 characters."""
+    d = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("t"), _title().alias("title"))
+    return d.select("doc_id", *service.analysis(F.col("t"), F.col("title")))
+
+
+@query(f"""{_ADMIT}, k AS (SELECT DISTINCT url_hash FROM d WHERE nu IS NOT NULL AND page_id % 3 = 0)
+SELECT page_id, k.url_hash IS NOT NULL AS is_duplicate, CASE WHEN k.url_hash IS NOT NULL THEN 'exact' ELSE 'none' END AS match_type, k.url_hash AS existing_url_hash, CASE WHEN k.url_hash IS NOT NULL THEN 100 ELSE 0 END AS similarity_score
+FROM d LEFT JOIN k ON d.url_hash = k.url_hash WHERE nu IS NOT NULL""")
+def check_duplicate(spark, sf):
+    """The verdict of every URL against those of each third page, exact matches only (the fuzzy part is in its own query)."""
+    d = _admitted(spark, sf).where("normalized_url is not null")
+    return service.check_duplicates(d.select("page_id", "normalized_url"), d.where("page_id % 3 = 0").select("url_hash")).drop("normalized_url")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS domain, event_type <> 'error' AS ok, CAST(round(greatest(value / 50, 0) * 1000000) AS BIGINT) AS s FROM events WHERE user_id % 2 = 0), asked AS (SELECT DISTINCT user_id::VARCHAR AS domain FROM events),
+g AS (SELECT domain, count(*) AS requests, count(*) FILTER (ok) AS successes, ((2 * sum(s) + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS avg_response FROM e GROUP BY 1)
+SELECT domain, coalesce(requests, 0) AS requests, coalesce(successes, 0) AS successes, coalesce(avg_response, 0)::DOUBLE AS avg_response, 1.0::DOUBLE AS delay FROM asked LEFT JOIN g USING (domain)""")
+def domain_record(spark, sf):
+    """Records of all domains, of which only the even ones have been crawled."""
+    e = _events(spark, sf)
+    known = e.where(F.col("domain").cast("long") % 2 == 0).groupBy("domain").agg(F.count("*").alias("requests"), F.count_if("ok").alias("successes"), crawl.mean_seconds(F.sum(crawl.micros(F.col("seconds"))), F.count("*")).alias("avg_response"), F.lit(1.0).alias("delay"))
+    return service.domain_records(e.select("domain").distinct(), known)
 
 
 @query(f"WITH {_E} SELECT id, CAST((row_number() OVER (PARTITION BY minute ORDER BY ts, id) - 1) % 4 AS INT) AS shard FROM e")

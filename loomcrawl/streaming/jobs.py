@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomcrawl.operators.crawl import AFTER, LEAST, MOST, START
+from loomcrawl.sources.shared import shared_path
 
 
 def json_source(spark, schema, servers: str, topic: str, most: int = 10_000) -> DataFrame:
@@ -158,10 +157,6 @@ def delay_queue(stream: DataFrame, seconds: int = 30, attempts: int = 5, late: s
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """Everything a stream has now, as a table: rows go to Parquet in the shared folder until the source is exhausted."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='loomcrawl-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, f"stream-{label}")
     stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
