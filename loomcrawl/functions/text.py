@@ -80,7 +80,7 @@ def language(text: Column) -> Column:
     """The language most of whose frequent words occur, alphabetical order breaks ties; unknown without any."""
     w = words(F.lower(text))
     among = lambda own: lambda x: x.isin(*own)
-    scores = [F.struct(F.size(F.filter(w, among(own))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(sorted(LANGUAGE_WORDS.items()))]
+    scores = [F.named_struct(F.lit("n"), F.size(F.filter(w, among(own))), F.lit("k"), F.lit(-k), F.lit("lang"), F.lit(lang)) for k, (lang, own) in enumerate(sorted(LANGUAGE_WORDS.items()))]
     best = F.array_max(F.array(*scores))
     return F.when(best["n"] > 0, best["lang"]).otherwise("unknown")
 

@@ -38,7 +38,7 @@ def query(url: Column) -> Column:
     """Parameters with a value, without tracking keys, by key; empty if none is left."""
     pairs = F.split(F.regexp_extract(url, _QUERY, 1), "&")
     kept = F.filter(pairs, lambda p: p.rlike("^[^=]+=.") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING_KEYS))
-    return F.array_join(F.array_sort(kept), "&")
+    return F.array_join(F.sort_array(kept), "&")
 
 
 def normalize(url: Column) -> Column:

@@ -108,9 +108,30 @@ def distribution(assigned: DataFrame) -> DataFrame:
 
 
 def imbalance(assigned: DataFrame) -> DataFrame:
+    """Loads of the shards compared; over_loaded and under_loaded count those above 1.5 and below 0.5 of the mean.
+
+    The array holds a number a shard, and their number is fixed.
+    """
     loads = assigned.groupBy("shard").agg(F.count("*").alias("n"))
-    s = loads.agg(F.max("n").alias("most"), F.min("n").alias("least"), F.avg("n").alias("mean"))
-    return s.select("most", "least", F.round("mean", 6).alias("mean"), F.round(F.col("most") / F.greatest("least", F.lit(1)), 6).alias("ratio"), (F.col("most") / F.greatest("least", F.lit(1)) >= 2).alias("act"))
+    s = loads.agg(F.max("n").alias("most"), F.min("n").alias("least"), F.avg("n").alias("mean"), F.collect_list("n").alias("loads"))
+    beside = [F.size(F.filter("loads", lambda n: n > 1.5 * F.col("mean"))).cast("long").alias("over_loaded"), F.size(F.filter("loads", lambda n: n < 0.5 * F.col("mean"))).cast("long").alias("under_loaded")]
+    return s.select("most", "least", F.round("mean", 6).alias("mean"), F.round(F.col("most") / F.greatest("least", F.lit(1)), 6).alias("ratio"), (F.col("most") / F.greatest("least", F.lit(1)) >= 2).alias("act"), *beside)
+
+
+def verdicts(gated: DataFrame, limit: int = 100, wait: float = 30.0) -> DataFrame:
+    """Rows of gate with a shard as status scheduled, delayed, rejected (robots) or error (no domain), and their wait.
+
+    A request that the gate lets through waits `wait` seconds if its shard has `limit` such requests in that minute.
+    """
+    place = F.row_number().over(Window.partitionBy("shard", minute(F.col("ts")), "ok").orderBy("ts", "id"))
+    full = F.col("ok") & (place > limit)
+    status = F.when(F.col("domain").isNull(), "error").when(F.col("reason") == "robots", "rejected").when(~F.col("ok") | full, "delayed").otherwise("scheduled")
+    return gated.withColumn("status", status).withColumn("wait", F.when(full, wait).otherwise(F.col("wait")))
+
+
+def service_means(events: DataFrame, by: str) -> DataFrame:
+    """Requests, successes and mean seconds of each group, exact in any order of addition."""
+    return events.groupBy(by).agg(F.count("*").alias("requests"), F.count_if("ok").alias("successes"), mean_seconds(F.sum(micros(F.col("seconds"))), F.count("*")).alias("avg_response"))
 
 
 def overloaded(assigned: DataFrame, limit: int = 100) -> DataFrame:

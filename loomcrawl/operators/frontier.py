@@ -14,10 +14,11 @@ FUZZY_SCORE, FUZZY_CANDIDATES = 85, 100
 def admit(new: DataFrame, known: DataFrame | None = None, source: str = "seed") -> DataFrame:
     """new(url, depth, created_at) labelled: error (no canonical form), exact (known or earlier in the batch), new.
 
-    A URL's first row by (created_at, url) wins; known has url_hash. Spark prunes the anti-join by its runtime filter.
+    A URL's first row by (created_at, url) wins; known has url_hash. Rows that name a source keep it. Spark prunes the anti-join by its runtime filter.
     """
     d = new.withColumn("normalized_url", urls.normalize(F.col("url"))).withColumn("url_hash", urls.url_hash(F.col("normalized_url"))).withColumn("domain", urls.domain(F.col("normalized_url")))
-    d = d.withColumn("priority", urls.priority(F.col("normalized_url"), F.col("depth"))).withColumn("source", F.lit(source))
+    d = d.withColumn("priority", urls.priority(F.col("normalized_url"), F.col("depth")))
+    d = d if "source" in new.columns else d.withColumn("source", F.lit(source))
     first = F.row_number().over(Window.partitionBy("url_hash").orderBy("created_at", "url"))
     bad = d.where(F.col("normalized_url").isNull()).withColumn("status", F.lit("error"))
     good = d.where(F.col("normalized_url").isNotNull()).withColumn("n", first)
@@ -29,6 +30,26 @@ def admit(new: DataFrame, known: DataFrame | None = None, source: str = "seed")
     return good.withColumn("status", F.when(seen, "exact").otherwise("new")).drop("n", "h").unionByName(bad)
 
 
+def from_sources(sources: dict[str, DataFrame]) -> DataFrame:
+    """URLs of several sources, each row with the name of its own."""
+    rows = None
+    for name, df in sources.items():
+        tagged = df.withColumn("source", F.lit(name))
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    return rows
+
+
+def queued(queue: DataFrame, known: DataFrame) -> DataFrame:
+    """The queue's waiting rows (url_id, status, scheduled_at) with their URLs (url_id, ...); rows without a URL go."""
+    return queue.where("status = 'pending'").drop("status").join(known, "url_id")
+
+
+def dedup_stats(labelled: DataFrame) -> DataFrame:
+    """Admitted rows, and how many different URLs and fuzzy forms they have."""
+    good = labelled.where("normalized_url is not null").select("url_hash", urls.fuzzy_hash(F.col("normalized_url")).alias("fuzzy_hash"), "status")
+    return good.agg(F.count("*").alias("rows"), F.countDistinct("url_hash").alias("exact_hashes"), F.countDistinct("fuzzy_hash").alias("fuzzy_hashes"), F.count_if(F.col("status") == "new").alias("stored"))
+
+
 def admission_counts(labelled: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return labelled.agg(F.count("*").alias("received"), F.count_if(F.col("status") != "error").alias("normalized"), count("exact"), count("new"), count("error"))

@@ -232,5 +232,23 @@ def quality_ranges(found: DataFrame) -> DataFrame:
     return found.agg(F.map_from_arrays(F.array(*map(F.lit, ("low", "medium", "good", "excellent"))), F.array(*map(count, ("low", "medium", "good", "excellent")))).alias("m")).select(F.explode("m").alias("key", "n"))
 
 
+def inbound(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of every linked URL: links, sources (pages), the first anchor text, and whether docs (url) has it.
+
+    Links are counted before the join, so a URL that much of the corpus links to is one row in it.
+    """
+    counts = links.groupBy("target_url").agg(F.count("*").alias("links"), F.countDistinct("source_url").alias("sources"), F.min("anchor_text").alias("anchor_text"))
+    have = docs.select(F.col("url").alias("target_url")).distinct().withColumn("_have", F.lit(True))
+    return counts.join(have, "target_url", "left").withColumn("indexed", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
+def create_index(spark: SparkSession, name: str, schema: str, key: str, buckets: int = BUCKETS) -> bool:
+    """Makes the table `name` (DDL columns, bucketed by key) unless it's there; tells if it was made."""
+    if spark.catalog.tableExists(name):
+        return False
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS")
+    return True
+
+
 def suggest(docs: DataFrame, prefix: str, n: int = 5) -> DataFrame:
     return docs.where(F.lower(F.col("title")).startswith(prefix.lower())).select("title").distinct().orderBy("title").limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcrawl.functions import extract, html, text, urls
+from loomcrawl.functions import dates, extract, html, text, urls
 from loomcrawl.functions.fixed import BLOG, DOCUMENTATION, IGNORED_EXTENSIONS, LANGUAGE_WORDS, LINK_EXTENSIONS, LINK_HOSTS, NEWS, PRODUCT, STOP_WORDS, TRACKING_KEYS
 from loomcrawl.operators import crawl, frontier, index, service
 from loomcrawl.sources.shared import shared_path
@@ -131,7 +131,7 @@ def shard_distribution(spark, sf):
     return crawl.distribution(_events(spark, sf))
 
 
-@query(f"WITH {_E}, l AS (SELECT shard, count(*) AS n FROM e GROUP BY 1) SELECT max(n) AS most, min(n) AS least, round(avg(n), 6) AS mean, round(max(n)::DOUBLE / greatest(min(n), 1), 6) AS ratio, max(n)::DOUBLE / greatest(min(n), 1) >= 2 AS act FROM l")
+@query(f"WITH {_E}, l AS (SELECT shard, count(*) AS n FROM e GROUP BY 1), m AS (SELECT avg(n) AS mean FROM l) SELECT max(n) AS most, min(n) AS least, round(avg(n), 6) AS mean, round(max(n)::DOUBLE / greatest(min(n), 1), 6) AS ratio, max(n)::DOUBLE / greatest(min(n), 1) >= 2 AS act, count(*) FILTER (n > 1.5 * m.mean) AS over_loaded, count(*) FILTER (n < 0.5 * m.mean) AS under_loaded FROM l, m")
 def shard_imbalance(spark, sf):
     return crawl.imbalance(_events(spark, sf))
 
@@ -507,6 +507,67 @@ def domain_record(spark, sf):
     return service.domain_records(e.select("domain").distinct(), known)
 
 
+@query(f"""WITH {_E}, g AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY domain ORDER BY ts, id))) AS BIGINT) AS gap, row_number() OVER (PARTITION BY domain, minute ORDER BY ts, id) AS n FROM e),
+v AS (SELECT *, coalesce(gap < 600, false) AS near, n - 1 >= 1 AS often FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY shard, minute, near OR often ORDER BY ts, id) AS place FROM v)
+SELECT id, CASE WHEN near OR often OR place > 2 THEN 'delayed' ELSE 'scheduled' END AS status, CAST(CASE WHEN near THEN 600.0 - gap WHEN often THEN 10.0 WHEN place > 2 THEN 30.0 ELSE 0.0 END AS DOUBLE) AS wait FROM p""")
+def schedule_verdicts(spark, sf):
+    """What becomes of every request: the politeness gate first, then its shard's load."""
+    return crawl.verdicts(crawl.gate(_events(spark, sf), 600.0, 1), 2).select("id", "status", F.col("wait").cast("double").alias("wait"))
+
+
+@query(f"WITH {_E}, s AS (SELECT shard, ok, CAST(round(greatest(seconds, 0) * 1000000) AS BIGINT) AS m FROM e) SELECT shard, count(*) AS requests, count(*) FILTER (ok) AS successes, ((2 * sum(m) + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS avg_response FROM s GROUP BY 1")
+def service_means(spark, sf):
+    return crawl.service_means(_events(spark, sf), "shard")
+
+
+@query(f"{_ADMIT} SELECT count(*) AS rows, count(DISTINCT url_hash) AS exact_hashes, count(DISTINCT md5(lower(regexp_extract(nu, '^[a-z]+://([^/?#]*)', 1) || regexp_extract(nu, '^[a-z]+://[^/?#]*([^?#]*)', 1)))) AS fuzzy_hashes, count(*) FILTER (status = 'new') AS stored FROM d WHERE nu IS NOT NULL")
+def dedup_stats(spark, sf):
+    return frontier.dedup_stats(_admitted(spark, sf))
+
+
+@query(f"{_ADMIT} SELECT page_id AS url_id, page_id * 10 AS scheduled_at, nu AS normalized_url, CAST(pr AS INT) AS priority FROM d WHERE status = 'new' AND page_id % 3 <> 0")
+def queue_listing(spark, sf):
+    """Waiting queue rows with their URLs; every third page's row is done."""
+    queue = _pages(spark, sf).select(F.col("page_id").alias("url_id"), F.when(F.col("page_id") % 3 == 0, "done").otherwise("pending").alias("status"), (F.col("page_id") * 10).alias("scheduled_at"))
+    known = _admitted(spark, sf).where("status = 'new'").select(F.col("page_id").alias("url_id"), "normalized_url", "priority")
+    return frontier.queued(queue, known)
+
+
+@query(f"""WITH {_LINKS}, given AS (SELECT page_id, url, 'seed' AS source, 0 AS depth FROM pages UNION ALL SELECT page_id, target_url, 'discovered', 1 FROM k WHERE r = 1), {_U.replace("FROM pages)", "FROM given)")}
+SELECT source, page_id, url, url_hash, CASE WHEN nu IS NULL THEN 'error' WHEN row_number() OVER (PARTITION BY url_hash ORDER BY depth, page_id, url) > 1 THEN 'exact' ELSE 'new' END AS status FROM a""")
+def admit_sources(spark, sf):
+    """Seeds and discovered links in one admission; seeds come first."""
+    p = _pages(spark, sf)
+    found = index.links(p).where(F.col("link_type").isin("internal", "external"))
+    late = F.lit(1 << 50).cast("long")
+    rows = frontier.from_sources({"seed": p.select("page_id", "url", F.lit(0).alias("depth"), F.col("page_id").cast("long").alias("created_at")), "discovered": found.select("page_id", F.col("target_url").alias("url"), F.lit(1).alias("depth"), (late + F.col("page_id")).alias("created_at"))})
+    return frontier.admit(rows).select("source", "page_id", "url", "url_hash", "status")
+
+
+@query(f"WITH {_LINKS} SELECT target_url, count(*) AS links, count(DISTINCT url) AS sources, min(left(trim(anchor), 200)) AS anchor_text, target_url IN (SELECT url FROM pages WHERE url IS NOT NULL) AS indexed FROM k WHERE r = 1 GROUP BY target_url")
+def inbound_links(spark, sf):
+    return index.inbound(index.links(_pages(spark, sf)), _pages(spark, sf))
+
+
+@query(f"WITH {_DOC}, ft AS (SELECT doc_id, 'title' AS field, unnest(regexp_extract_all(lower({_DTITLE}), '(\\p{{L}}+)')) AS term FROM c UNION ALL SELECT doc_id, 'content', unnest(regexp_extract_all(lower(t), '(\\p{{L}}+)')) FROM c), ps AS (SELECT DISTINCT * FROM ft) SELECT (SELECT count(*) FROM documents) AS docs, count(DISTINCT term) AS terms, count(*) AS postings FROM ps")
+def index_stats(spark, sf):
+    """Sizes of the written index (its bytes are in Index.stats)."""
+    return _search_index(spark, sf).stats().drop("bytes")
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(string_split(coalesce({_DTITLE.replace('(t,', '(text,')}, ''), ','), lambda x: trim(x))[1:{index.MOST_KEYWORDS}], '|') AS keywords FROM documents")
+def keyword_lists(spark, sf):
+    """The first line's parts between commas, as a page's keyword string is cut."""
+    return _docs(spark, sf).select("doc_id", F.array_join(service.keywords(_title()), "|").alias("keywords"))
+
+
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END AS iso, epoch_us(ts) AS micros FROM events")
+def iso_timestamps(spark, sf):
+    """Times as ISO strings, and read back from them."""
+    e = _table(spark, sf, "events").select(F.col("event_id").alias("id"), dates.iso(F.col("ts")).alias("iso"))
+    return e.withColumn("micros", dates.micros(dates.from_iso(F.col("iso"))))
+
+
 @query(f"WITH {_E} SELECT id, CAST((row_number() OVER (PARTITION BY minute ORDER BY ts, id) - 1) % 4 AS INT) AS shard FROM e")
 def load_balanced_shard(spark, sf):
     return crawl.load_balanced(_events(spark, sf)).select("id", "shard")
