@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomcrawl.llm.common import Recent, kept, map_batches, table, texts_of
 
-#: CACHE: distinct chunks that a worker remembers, at most twice as many, some 200 bytes each.
-BLANK, END, CACHE = "▁", 2, 900_000
+#: CACHE: distinct chunks that a worker remembers, at most twice as many, some 200 bytes each; those of more than LONGEST
+#: characters are merged anew each time, as their number says nothing about their size.
+BLANK, END, CACHE, LONGEST = "▁", 2, 900_000, 64
 #: Symbols up to which the best pair is sought in a list: at that length it costs less than a heap's upkeep.
 LISTED, NONE = 32, float("inf")
 _BEFORE_BLANK = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
@@ -39,8 +40,13 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+class Chunks(Recent):
+    def __missing__(self, key: str) -> bytes:
+        return super().__missing__(key) if len(key) <= LONGEST else self.value(key)
+
+
 class Agenda:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         self.sp = sp = processor(path)
         kinds = [(sp.id_to_piece(i), i) for i in range(sp.get_piece_size())]
         self.piece = {p: (-sp.get_score(i), i) for p, i in kinds if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
@@ -51,8 +57,8 @@ class Agenda:
         self.lone = not any(BLANK in p.lstrip(BLANK) for p in self.piece) and not any("\n" in p for p in self.piece)
         #: Stops that no piece has behind a letter or digit: a merge never reaches over the place between.
         self.stop = {c: self.chunk(c) for c in ",." if not any(c in p[1:] and any(a.isalnum() and b == c for a, b in zip(p, p[1:], strict=False)) for p in self.piece)}
-        self.whole = Recent(CACHE, lambda c: self._packed(self.chunk(c)))
-        self.after_blank = Recent(CACHE, self._part)
+        self.whole = Chunks(cache, lambda c: self._packed(self.chunk(c)))
+        self.after_blank = Chunks(cache, self._part)
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a string in which blanks are already signs."""
@@ -129,13 +135,16 @@ class Agenda:
         return b"".join([cache[p] for p in parts])
 
 
-def digests(df: DataFrame, path: str, keep: bool = False, strict: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees; with keep also ids array<int> and decoded text."""
+def digests(df: DataFrame, path: str, keep: bool = False, strict: bool = False, cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees; with keep also ids array<int> and decoded text.
+
+    A worker remembers cache to twice as many distinct chunks: fewer take less memory and more time.
+    """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"] + ["ids", "decoded"] * keep
     kinds = [None, pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.string()]
 
     def make():
-        agenda = kept("agenda", path, lambda: Agenda(path))
+        agenda = kept("agenda", (path, cache), lambda: Agenda(path, cache))
         sp, decimal = agenda.sp, agenda.decimal
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:

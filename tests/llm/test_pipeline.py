@@ -5,10 +5,11 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomcrawl.llm import langid, pieces, pii
+from loomcrawl.llm import common, langid, pieces, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM = " ".join(f"item{a}{b}" for a in "abcde" for b in "vwxyz")
@@ -81,6 +82,23 @@ def test_tokens(spark, sf, docs):
     assert rows_of(got) == sorted(want)
 
 
+def test_tokens_memory_is_bounded(spark, docs, sf, monkeypatch):
+    """Half a million distinct words, then one long run of letters: a worker keeps little of either, and all ids are right."""
+    steps = []
+    monkeypatch.setattr(pieces, "map_batches", lambda df, schema, make: steps.append(make()) or df)
+    common._KEPT.clear()
+    corpus_pipeline.tokens(spark, docs, sf)
+    run = "".join(chr(0x4E00 + i % 3000) for i in range(20_000))
+    texts = [" ".join(f"w{i}x{i * 7919 % 10007}" for i in range(k, k + 5000)) for k in range(0, 500_000, 5000)] + [run]
+    for t in texts:
+        out = steps[0](pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["doc_id", "text"]))
+        assert out.column(out.schema.get_field_index("agrees")).to_pylist() == [True]
+    agenda = common._KEPT["agenda"][1]
+    held = [x for cache in (agenda.whole, agenda.after_blank) for part in (cache, cache.old) for x in part.items()]
+    common._KEPT.clear()
+    assert len(held) <= 400_000 and sum(len(k) + len(v) for k, v in held) <= 12_000_000 and max(len(k) for k, _ in held) <= 64
+
+
 def test_run_is_its_stages(spark, sf, docs):
     d = docs
     for _, stage in corpus_pipeline.STAGES:
