@@ -17,8 +17,8 @@ alphabetical order; without any labelled row everything is `und`; repeated rows
 
 from __future__ import annotations
 
-import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,26 @@ RUN_WORDS, CACHE = 400_000, 200_000
 #: A text under this share of words in its best language has no clear one (pipeline).
 LEAST = 0.35
 PIECE = 40
-#: What \w has beside letters, decimal digits and the underscore: other numbers (all below U+20000) are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]{{1,{PIECE}}}")
+#: Bytes of words that are scored at once, times the number of languages: bounds the table of their n-grams' weights.
+SCORED = 1 << 19
+
+
+class _Letters(dict):
+    """For str.translate: letters stay, all else becomes a blank."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = c = chr(code) if chr(code).isalpha() else " "
+        return c
+
+
+_LETTERS = _Letters()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = text.lower().translate(_LETTERS).split()
+    if words and len(max(words, key=len)) > PIECE:
+        return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+    return words
 
 
 def features(word: str) -> list[int]:
@@ -52,12 +65,52 @@ def features(word: str) -> list[int]:
     return [crc(g) & (BUCKETS - 1) for g in grams]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> 1) ^ np.where(t & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return t
+
+
+_CRC = _crc_table()
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """features() of many words at once: per n-gram the place of its word, ascending, and its bucket."""
+    marked = [f"^{w}$".encode("utf-8", "surrogatepass") for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    flat = np.frombuffer(b"".join(marked), np.uint8)
+    word = np.repeat(np.arange(len(marked), dtype=np.int64) << 34, lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))  # bytes from here to the word's end
+    crc, keys = np.full(len(flat), 0xFFFFFFFF, np.uint32), []
+    for k in range(1, min(4, len(flat)) + 1):  # crc32 is one-to-one on up to 4 bytes of one length
+        crc = crc[: len(flat) - k + 1]
+        crc = _CRC[(crc ^ flat[k - 1 :]) & 0xFF] ^ (crc >> 8)
+        if k > 1:
+            at = np.flatnonzero(left[: len(crc)] >= k)
+            keys.append(word[at] | (k - 1) << 32 | (crc[at] ^ np.uint32(0xFFFFFFFF)))
+    at = np.flatnonzero(lengths > 4)  # shorter ends are among the others
+    keys.append(at << 34 | np.fromiter((zlib.crc32(marked[i][-6:]) for i in at.tolist()), np.int64, len(at)))
+    key = np.concatenate(keys)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key >> 34, key & (BUCKETS - 1)
+
+
+class _Places(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class Model:
-    """Weights of a fitted field; `emission` caches the scores of distinct words."""
+    """Weights of a fitted field, and the scores of distinct words: all that places() has numbered are scored together."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, lexicon: dict[str, int], lexical: np.ndarray, transitions: np.ndarray, start: np.ndarray):
         self.languages, self.weights, self.lexicon, self.lexical, self.transitions, self.start = languages, weights, lexicon, lexical, transitions, start
-        self._place: dict[str, int] = {}
+        self._place, self._scored = _Places(), 0
         self._scores = np.zeros((1024, len(languages)))
 
     def worker(self) -> Model:
@@ -65,7 +118,7 @@ class Model:
         return kept("langid", zlib.crc32(self.weights.tobytes() + self.transitions.tobytes()), lambda: self)
 
     def __getstate__(self):
-        return {**self.__dict__, "_place": {}, "_scores": np.zeros((1024, len(self.languages)))}
+        return {**self.__dict__, "_place": _Places(), "_scored": 0, "_scores": np.zeros((1024, len(self.languages)))}
 
     def score(self, word: str) -> np.ndarray:
         x = self.weights[features(word)].sum(axis=0)
@@ -75,26 +128,39 @@ class Model:
                 x = x + self.lexical[k]
         return x
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """score() of each word."""
+        word, bucket = grams_of(words)
+        x = np.add.reduceat(self.weights[bucket], np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])), axis=0)
+        for i, mask in enumerate(map(self.lexicon.get, words)):
+            if mask:
+                for k in range(len(self.languages)):
+                    if mask >> k & 1:
+                        x[i] += self.lexical[k]
+        return x
+
     def places(self, words: list[str]) -> np.ndarray:
-        """Rows of the score table for words; new ones are scored."""
-        place = self._place
-        try:
-            return np.fromiter([place[w] for w in words], np.int64, len(words))
-        except KeyError:
-            pass
-        for w in words:
-            if w not in place:
-                k = len(place)
-                if k == len(self._scores):
-                    self._scores = np.vstack([self._scores, np.zeros_like(self._scores)])
-                x = self.score(w)
-                self._scores[k] = np.exp(x - x.max())
-                place[w] = k
-        return np.fromiter([place[w] for w in words], np.int64, len(words))
+        """Rows of the score table for words; new ones get the next rows."""
+        return np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
+
+    def table(self) -> np.ndarray:
+        """The score table, with all words that have a place."""
+        if len(self._place) > self._scored:
+            new = list(islice(self._place, self._scored, None))
+            while len(self._scores) < len(self._place):
+                self._scores = np.vstack([self._scores, np.zeros_like(self._scores)])
+            ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 2) // max(1, SCORED // len(self.languages))
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(new)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                x = self.scores(new[lo:hi])
+                self._scores[self._scored + lo : self._scored + hi] = np.exp(x - x.max(axis=1, keepdims=True))
+            self._scored = len(self._place)
+        return self._scores
 
     def forget(self) -> None:
         if len(self._place) > CACHE:
             self._place.clear()
+            self._scored = 0
 
     def marginals(self, sequences: list[np.ndarray], every: bool = False):
         """Per sequence the mean probability of each language over its words; with every also all words' own."""
@@ -102,7 +168,7 @@ class Model:
         lengths = np.array([len(sequences[i]) for i in order])
         flat = np.concatenate([sequences[i] for i in order])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        table, step, steps = self._scores, np.exp(self.transitions), int(lengths[0])
+        table, step, steps = self.table(), np.exp(self.transitions), int(lengths[0])
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
         forward = np.zeros((len(flat), len(self.languages)))
         a = np.exp(self.start)[None, :] * table[flat[starts]]
