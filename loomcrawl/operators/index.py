@@ -22,10 +22,11 @@ def cut(c: Column, most: int) -> Column:
 def content_documents(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) as index documents."""
     d = pages.select("page_id", "url", "html").withColumn("content", html.plain_text(F.col("html"))).withColumn("page_title", html.title(F.col("html")))
-    words = F.size(text.words(F.col("content")))
-    ease = text.readability(F.col("content"))["flesch_reading_ease"]
-    quality = text.quality(words, text.paragraph_count(F.col("content")), text.sentence_count(F.col("content")), ease, F.col("page_title"), F.lit(""), text.unique_ratio(F.col("content")))
-    return d.select("page_id", "url", urls.domain(F.col("url")).alias("domain"), cut(F.col("page_title"), MOST_TITLE).alias("title"), cut(F.col("content"), MOST_CONTENT).alias("content"), F.sha2("content", 256).alias("content_hash"), F.length("content").cast("long").alias("content_length"), words.cast("long").alias("word_count"), html.count_links(F.col("html")).cast("long").alias("links_count"), text.content_type(F.col("content"), F.col("page_title")).alias("content_type"), F.coalesce(F.nullif(html.lang(F.col("html")), F.lit("")), F.lit("unknown")).alias("language"), F.round(quality, 4).alias("quality_score"))
+    m = text.measured(d, "content", "page_title")
+    words = F.col("_words")
+    ease = text.readability_of(words, F.col("_sentences"), F.col("_syllables"), F.col("_characters"))["flesch_reading_ease"]
+    quality = text.quality(words, F.col("_paragraphs"), F.col("_sentences"), F.col("_ease"), F.col("page_title"), F.lit(""), F.col("_ratio"))
+    return m.withColumn("_ease", ease).select("page_id", "url", urls.domain(F.col("url")).alias("domain"), cut(F.col("page_title"), MOST_TITLE).alias("title"), cut(F.col("content"), MOST_CONTENT).alias("content"), F.sha2("content", 256).alias("content_hash"), F.length("content").cast("long").alias("content_length"), words.cast("long").alias("word_count"), html.count_links(F.col("html")).cast("long").alias("links_count"), F.col("_type").alias("content_type"), F.coalesce(F.nullif(html.lang(F.col("html")), F.lit("")), F.lit("unknown")).alias("language"), F.round(quality, 4).alias("quality_score"))
 
 
 def links(pages: DataFrame, depth: int = 0) -> DataFrame:

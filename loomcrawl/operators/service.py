@@ -13,31 +13,41 @@ LEAST_LENGTH, LEAST_ANALYSED = 100, 50
 TOO_SHORT, NO_TEXT = "Content too short or empty", "No meaningful content extracted"
 
 
-def analysis(t: Column, title: Column) -> list[Column]:
+def analysis(t: Column, title: Column, measures: dict[str, Column] | None = None) -> list[Column]:
     """The analysis of a text as named columns; all zero, empty or unknown for one of under LEAST_ANALYSED characters.
 
-    Put t in a column of its own first: it's used several times.
+    Put t in a column of its own first: it's used several times. measures are text.measures(t, title) or columns of them.
     """
-    short = F.length(F.regexp_replace(t, "^\\s+|\\s+$", "")) < LEAST_ANALYSED
-    short = short | t.isNull()
-    words, sentences, paragraphs, ease = F.size(text.words(t)), text.sentence_count(t), text.paragraph_count(t), text.readability(t)
-    quality = text.quality(words, paragraphs, sentences, ease["flesch_reading_ease"], title, F.lit(""), text.unique_ratio(t))
-    language = text.language(t)
+    m = text.measures(t, title) if measures is None else measures
+    short = m["_short"] if "_short" in m else _short(t)
+    words, sentences, paragraphs, language = (m[k] for k in ("_words", "_sentences", "_paragraphs", "_language"))
+    ease = text.readability_of(words, sentences, m["_syllables"], m["_characters"])
+    quality = text.quality(words, paragraphs, sentences, ease["flesch_reading_ease"], title, F.lit(""), m["_ratio"])
     values = {
         "character_count": (F.length(t).cast("long"), F.lit(0).cast("long")),
         "word_count": (words.cast("long"), F.lit(0).cast("long")),
         "sentence_count": (sentences.cast("long"), F.lit(0).cast("long")),
         "paragraph_count": (paragraphs.cast("long"), F.lit(0).cast("long")),
         **{k: (F.round(c, 6), F.lit(0.0)) for k, c in ease.items()},
-        "reading_time_minutes": (F.round(text.reading_minutes(t), 6), F.lit(0.0)),
+        "reading_time_minutes": (F.round(words / F.lit(200.0), 6), F.lit(0.0)),
         "detected_language": (language, F.lit("unknown")),
         "language_confidence": (F.when(language == "unknown", 0.0).otherwise(0.8), F.lit(0.0)),
         "quality_score": (F.round(quality, 4), F.lit(0.0)),
-        "content_type": (text.content_type(t, title), F.lit("unknown")),
+        "content_type": (m["_type"], F.lit("unknown")),
     }
     return [F.when(short, none).otherwise(c).alias(k) for k, (c, none) in values.items()]
 
 
+def _short(t: Column) -> Column:
+    return (F.length(F.regexp_replace(t, "^\\s+|\\s+$", "")) < LEAST_ANALYSED) | t.isNull()
+
+
+def analysed(d: DataFrame, t: str, title: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns keep of d and the analysis of its column t, each measure computed once."""
+    m = text.measured(d.withColumn("_short", _short(F.col(t))), t, title)
+    return m.select(*keep, *analysis(F.col(t), F.col(title), {k: F.col(k) for k in (*text.MEASURES, "_short")}))
+
+
 def process_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) as processed: success, error, the text's hash and analysis, counts of links by kind.
 
@@ -46,7 +56,7 @@ def process_pages(pages: DataFrame) -> DataFrame:
     d = pages.select("page_id", "url", F.length("html").alias("size"), html.plain_text(F.col("html")).alias("text"), html.title(F.col("html")).alias("title"))
     failed = F.when(F.coalesce("size", F.lit(0)) < LEAST_LENGTH, TOO_SHORT).when(F.coalesce(F.length("text"), F.lit(0)) < LEAST_LENGTH, NO_TEXT)
     kinds = index.links(pages).groupBy("page_id").agg(*[F.count_if(F.col("link_type") == k).alias(f"{k}_links") for k in ("internal", "external")])
-    done = d.withColumn("error", failed).select("page_id", "url", "text", "error", *analysis(F.col("text"), F.col("title"))).join(kinds, "page_id", "left")
+    done = analysed(d.withColumn("error", failed), "text", "title", ("page_id", "url", "text", "error")).join(kinds, "page_id", "left")
     links = {f"{k}_links": F.coalesce(f"{k}_links", F.lit(0)).cast("long") for k in ("internal", "external")}
     own = ("character_count", "word_count", "quality_score", "detected_language", "content_type")
     ok = F.col("error").isNull()

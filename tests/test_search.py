@@ -154,3 +154,14 @@ def test_domain_records(spark):
     asked = spark.createDataFrame([("a",), ("b",)], "domain string")
     stats = spark.createDataFrame([("a", 3, 2, 0.5, 4.0)], "domain string, requests long, successes long, avg_response double, delay double")
     assert sorted(map(tuple, service.domain_records(asked, stats).collect())) == [("a", 3, 2, 0.5, 4.0), ("b", 0, 0, 0.0, 1.0)]
+
+
+def test_measures_are_computed_once(spark, tmp_path):
+    d = spark.createDataFrame([("The word and the other word are here for all of you. " * 3,), (" ",), (None,)], "t string").withColumn("title", F.lit("A word of you"))
+    d.write.parquet(path := str(tmp_path / "measures"))
+    got = service.analysed(spark.read.parquet(path), "t", "title", ("t",))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    for once in ("[aeiouy", "[^\\p{L}\\p{N}]", "[^ \\t", "^\\s+"):
+        assert plan.count(once) == 1, once
+    want = spark.read.parquet(path).select("t", *service.analysis(F.col("t"), F.col("title")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
