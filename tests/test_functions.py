@@ -181,3 +181,27 @@ def test_delay_queue_timers(spark, tmp_path):
         assert sorted(r.id for r in run(jobs.delay_queue(stream), tmp_path, "due")) == [1, 4]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_best_candidate_is_that_of_all_scores():
+    import random
+
+    from loomcrawl.operators import frontier
+
+    r = random.Random(3)
+    urls = ["", "/", "https://é.test/ü"] + [f"https://{r.choice(['shop', 'press'])}.test/" + "/".join("".join(r.choices("abcdé7", k=r.randint(1, 6))) for _ in range(r.randint(0, 3))) for _ in range(60)]
+    for threshold in (0, 70, 85, 100):
+        for url in urls:
+            scores = [(frontier.fuzz_score(url, u), -k, u) for k, u in enumerate(urls) if u != url]
+            n, _, u = max(scores)
+            assert frontier.Candidates(urls).best(url, threshold) == ((u, n) if n >= threshold else None)
+
+
+def test_fewer_scores_than_pairs(monkeypatch):
+    from loomcrawl.operators import frontier
+
+    done = []
+    monkeypatch.setattr(frontier, "partial_ratio", lambda a, b, f=frontier.partial_ratio: done.append(1) or f(a, b))
+    urls = [f"https://a.test/{k * 7919 % 100003:06d}/{'xyzuvw'[k % 6] * 9}" for k in range(100)]
+    own = frontier.Candidates(urls)
+    assert all(own.best(u, 85) for u in urls) and len(done) < 2000
