@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,13 +95,41 @@ def edits(term: str) -> int:
     return 0 if len(term) < 3 else 1 if len(term) < 6 else 2
 
 
+#: Posting rows that a task holds before it hands them on.
+HELD = 100_000
+
+
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """field, id, dl, term, tf: the inverted index."""
-    parts = [docs.select(F.lit(f).alias("field"), "id", text.letters(_searched(docs, f)).alias("w")) for f in fields]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.select("field", "id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("field", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    """field, id, dl, term, tf: the inverted index. A document's terms are counted in its own row; only documents that share an id are merged."""
+    spaced = [F.regexp_replace(F.lower(F.coalesce(_searched(docs, f), F.lit(""))), "\\P{L}+", " ").alias(f"f{k}") for k, f in enumerate(fields)]
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            places, names, dls, terms, tfs = [], [], [], [], []
+
+            def told():
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column(0).take(pa.array(places, pa.int64())), pa.array(dls, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=["field", "id", "dl", "term", "tf"])
+
+            for i in range(b.num_rows):
+                for f, column in zip(fields, b.columns[1:], strict=True):
+                    words = column[i].as_py().split()
+                    found = Counter(words)
+                    places += [i] * len(found)
+                    names += [f] * len(found)
+                    dls += [len(words)] * len(found)
+                    terms += found.keys()
+                    tfs += found.values()
+                if len(places) >= HELD:
+                    yield told()
+                    places, names, dls, terms, tfs = [], [], [], [], []
+            if places:
+                yield told()
+
+    rows = docs.select("id", *spaced).mapInArrow(run, f"field string, id {id_type}, dl int, term string, tf long")
+    if docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    return rows.groupBy("field", "id", "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
 def _searched(docs: DataFrame, name: str) -> Column:
@@ -138,25 +168,41 @@ class Index:
     @staticmethod
     def write(docs: DataFrame, path: str, fields: tuple[str, ...] = ("title", "description", "content", "keywords")) -> Index:
         """Writes docs (id and others) and their index below path."""
-        own = [f for f in fields if f in docs.columns]
+        return Index.documents(docs, path).complete(fields)
+
+    @staticmethod
+    def documents(docs: DataFrame, path: str) -> Index:
+        """The documents alone: enough for by_hash."""
         docs.write.parquet(f"{path}/docs")
-        stored = docs.sparkSession.read.parquet(f"{path}/docs")
+        return Index(docs.sparkSession, path)
+
+    def complete(self, fields: tuple[str, ...] = ("title", "description", "content", "keywords")) -> Index:
+        """Writes the rest of an index that has its documents only.
+
+        Files hold a bucket's postings or part of them: a bucket that is large is dealt out by size.
+        """
+        stored = self.table("docs")
+        own = [f for f in fields if f in stored.columns]
         rows = postings(stored, own).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-        sizes = [F.avg(F.size(text.letters(_searched(stored, f)))).alias(f) for f in own]
-        stored.agg(F.count("*").alias("n"), *sizes).select("n", F.explode(F.create_map(*[x for f in own for x in (F.lit(f), F.col(f))])).alias("field", "avgdl")).write.parquet(f"{path}/fields")
-        index = Index(docs.sparkSession, path)
-        index.table("postings").groupBy("term").agg(F.count("*").alias("n")).select("term").write.parquet(f"{path}/terms")
-        return index
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        n = stored.count()
+        sums = {r.field: r.s for r in self.table("postings").groupBy("field").agg(F.sum("tf").alias("s")).collect()}
+        self.spark.createDataFrame([(n, f, sums.get(f, 0) / n if n else None) for f in own], "n long, field string, avgdl double").coalesce(1).write.parquet(f"{self.path}/fields")
+        self.table("postings").select("term").distinct().write.parquet(f"{self.path}/terms")
+        return self
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        reader = self.spark.read
+        if name == "postings":  # without postings there are no files to tell
+            reader = reader.schema(f"field string, id {self.table('docs').schema['id'].dataType.simpleString()}, dl int, term string, tf long, bucket int")
+        return reader.parquet(f"{self.path}/{name}")
 
     def expanded(self, term: str, fuzzy: bool) -> list[str]:
         """The words that stand for a term: with fuzzy those within its edits, the nearest EXPANSIONS."""
         if not fuzzy or not edits(term):
             return [term]
-        near = self.table("terms").withColumn("d", distance(F.col("term"), term)).where(F.col("d") <= edits(term))
+        # A word whose length is further from the term's needs more edits.
+        near = self.table("terms").where(F.length("term").between(len(term) - edits(term), len(term) + edits(term))).withColumn("d", distance(F.col("term"), term)).where(F.col("d") <= edits(term))
         return [r.term for r in near.orderBy("d", "term").limit(EXPANSIONS).collect()]
 
     def scores(self, request: SearchRequest) -> DataFrame:

@@ -165,3 +165,26 @@ def test_measures_are_computed_once(spark, tmp_path):
         assert plan.count(once) == 1, once
     want = spark.read.parquet(path).select("t", *service.analysis(F.col("t"), F.col("title")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_postings_without_shuffle_and_of_repeated_ids(spark, tmp_path):
+    rows = [(1, "b a B", "a"), (2, None, "ſ É2é x_y"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "id long, title string, content string")
+    one = index.postings(docs, ["title", "content"])
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    want = [("content", 1, 1, "a", 1), ("title", 1, 3, "a", 1), ("title", 1, 3, "b", 2)] + [("content", 2, 5, t, n) for t, n in (("x", 1), ("y", 1), ("é", 2), ("ſ", 1))]
+    assert sorted(map(tuple, one.collect())) == sorted(want)
+    twice = index.postings(docs.unionByName(docs), ["title", "content"])
+    assert sorted(map(tuple, twice.collect())) == sorted((*r[:4], 2 * r[4]) for r in want)
+    stored = index.Index.write(docs, str(tmp_path / "i"))
+    assert {r.field: (r.n, r.avgdl) for r in stored.table("fields").collect()} == {"title": (3, 1.0), "content": (3, 2.0)}
+    empty = index.Index.write(docs.limit(0), str(tmp_path / "e"))
+    assert empty.table("fields").count() == 2 and empty.scores(index.SearchRequest("a")).count() == 0
+
+
+def test_documents_alone_answer_by_hash(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "id long, content string")
+    i = index.Index.documents(docs, str(tmp_path / "i"))
+    assert [p.name for p in tmp_path.joinpath("i").iterdir()] == ["docs"]
+    assert ids(i.by_hash(docs.select(F.sha2("content", 256)).first()[0])) == [1]
+    assert i.complete().stats().first().postings == 2
