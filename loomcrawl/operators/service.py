@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcrawl.functions import html, text, urls
+from loomcrawl.functions.fixed import STOP_WORDS
 from loomcrawl.operators import index
 
 #: Least length of html and of extracted text; least length of a text that is analysed; their errors.
@@ -124,3 +128,30 @@ def analytics(docs: DataFrame, columns: dict[str, int]) -> DataFrame:
     counts = docs.select(pairs).select("p.facet", "p.key").where("key is not null").groupBy("facet", "key").agg(F.count("*").alias("n"))
     most = F.create_map(*[x for c, n in columns.items() for x in (F.lit(c), F.lit(n))])[F.col("facet")]
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.col("n").desc(), "key")).cast("long")).where(F.col("rank") <= most)
+
+
+def top_words(docs: DataFrame, most: int = 10) -> DataFrame:
+    """doc_id, word, n, rank of docs (doc_id, text): a document's most frequent words, the earlier first of equals.
+
+    Each is counted in its own row. Rows that share a doc_id are one document; if there are any, words meet by doc_id.
+    """
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        w = docs.select("doc_id", text.keyword_candidates(F.col("text")).alias("w"))
+        rows = w.select("doc_id", F.posexplode("w").alias("pos", "word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+        top = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "first", "word"))), 1, most).alias("k"))
+        return top.select("doc_id", F.posexplode("k").alias("rank", "k")).select("doc_id", F.col("k.word").alias("word"), (-F.col("k.neg")).alias("n"), (F.col("rank") + 1).cast("long").alias("rank"))
+    stop = frozenset(STOP_WORDS)
+
+    def run(batches):
+        for b in batches:
+            places, words, ns, ranks = [], [], [], []
+            for i in range(b.num_rows):
+                for rank, (word, n) in enumerate(Counter(w for w in b.column(1)[i].as_py().split() if len(w) > 3 and w not in stop).most_common(most), 1):
+                    places.append(i)
+                    words.append(word)
+                    ns.append(n)
+                    ranks.append(rank)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), pa.array(words, pa.string()), pa.array(ns, pa.int64()), pa.array(ranks, pa.int64())], names=["doc_id", "word", "n", "rank"])
+
+    spaced = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "\\P{L}+", " ")
+    return docs.select("doc_id", spaced).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, word string, n long, rank long")

@@ -188,3 +188,12 @@ def test_documents_alone_answer_by_hash(spark, tmp_path):
     assert [p.name for p in tmp_path.joinpath("i").iterdir()] == ["docs"]
     assert ids(i.by_hash(docs.select(F.sha2("content", 256)).first()[0])) == [1]
     assert i.complete().stats().first().postings == 2
+
+
+def test_top_words(spark):
+    docs = spark.createDataFrame([(1, "beta Alpha alpha beta gamma with this abc"), (None, None), (2, "Ünder-ünder x9long")], "doc_id long, text string")
+    got = service.top_words(docs, 2)
+    assert sorted(map(tuple, got.collect())) == [(1, "alpha", 2, 2), (1, "beta", 2, 1), (2, "long", 1, 2), (2, "ünder", 2, 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    again = service.top_words(docs.unionByName(docs.where("doc_id = 1")), 2)
+    assert sorted(map(tuple, again.collect())) == [(1, "alpha", 4, 2), (1, "beta", 4, 1), (2, "long", 1, 2), (2, "ünder", 2, 1)]
